@@ -28,7 +28,7 @@ THRESHOLD = -0.12
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW_WORDS = 5
-_BLANKS = "\\t\\n\\u000B\\f\\r "
+_BLANKS = "\\t\\n\\u000B\\u000C\\r "
 
 
 def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
