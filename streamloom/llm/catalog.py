@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import blocknames, quality
+from . import blocknames, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_packing": packing.op2_packing,
         "op9_exact_dedup": blocknames.op9_exact_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": blocknames.OP9_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op9_exact_dedup": blocknames.OP9_SQL}
