@@ -6,8 +6,9 @@ function of its words; the document's is their noisy-or with a leak,
 gradient through the noisy-or tells which sentences earn the label, so the
 trained model also locates them.
 
-Trained on at most TRAIN_DOCS labelled documents (a documented bound; hashed
-words, not texts, come to the driver). Scoring is one pass without a shuffle:
+Trained on at most TRAIN_TOXIC toxic and TRAIN_OTHER other labelled documents
+(documented bounds; hashed words, not texts, come to the driver), weighted back
+to the shares that all labelled documents have. Scoring is one pass without a shuffle:
 words are hashed by numpy and looked up in a bounded table of weights.
 """
 
@@ -22,13 +23,16 @@ from pyspark.sql import functions as F
 from .common import table
 from .wordhash import WordHasher, batches_of, joined, letter_table
 
-TRAIN_DOCS = 8000
+TRAIN_TOXIC = 2500
+TRAIN_OTHER = 5500
 #: a word needs this much evidence (likelihood ratio statistic of document labels with and without it) to get a weight
 MIN_EVIDENCE = 15.0
 ROUNDS = 300
 LEARNING_RATE = 0.3
 L1 = 1e-5
 THRESHOLD = 0.3
+#: besides the word itself its first bytes are features, so inflected and compounded forms share what is learned
+PREFIXES = (4, 5, 6)
 #: bytes that end a sentence
 ENDS = b".!?\n"
 
@@ -42,13 +46,13 @@ class Bags:
         self.ends[list(ENDS)] = True
 
     def of(self, texts: list[str]):
-        """(word hashes, sentence of each word, document of each sentence, (start, end) bytes of each sentence in its text).
+        """(feature hashes, sentence of each, document of each sentence, (start, end) bytes of each sentence in its text).
 
         Sentences are numbered over the batch; every text has at least one. The
         line feed that ``joined`` puts after each text ends its last sentence.
         """
         buf, offsets = joined(texts)
-        starts, _, hashes = self.hasher.words(buf)
+        starts, ends, *hashes = self.hasher.words(buf, PREFIXES)
         stops = np.flatnonzero(self.ends[buf])
         # only a sentence with a word counts; a text without words keeps one empty sentence
         raw = np.searchsorted(stops, starts)
@@ -58,6 +62,9 @@ class Bags:
         begin = np.where(sentences > 0, stops[np.maximum(sentences - 1, 0)] + 1, 0) if len(raw) else np.zeros(0, np.int64)
         begin = np.maximum(begin, offsets[doc_of])
         end = np.minimum(stops[sentences] + 1, offsets[doc_of + 1] - 1) if len(raw) else np.zeros(0, np.int64)
+        longer = [np.flatnonzero(ends - starts > k) for k in PREFIXES]
+        index = np.concatenate([index, *[index[x] for x in longer]])
+        hashes = np.concatenate([hashes[0], *[h[x] for h, x in zip(hashes[1:], longer)]])
         return hashes, index, doc_of, (begin - offsets[doc_of], end - offsets[doc_of])
 
 
@@ -99,21 +106,23 @@ def evidence(toxic, df, positives: float, n: int):
 
 
 def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
-    """bags: (label, word hashes, sentence of each word from 0) of each training document."""
+    """bags: (label, weight, feature hashes, sentence of each from 0) of each training document."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -8.0, 0.0)
     if not bags:
         return empty
     y = np.array([b[0] for b in bags], dtype=float)
-    prior = y.mean()
-    if prior in (0.0, 1.0):
+    weight = np.array([b[1] for b in bags], dtype=float)
+    weight /= weight.sum()
+    prior = float(y @ weight)
+    if y.min() == y.max():
         empty.leak = float(prior)
         return empty
-    sizes = [int(b[2].max()) + 1 if len(b[2]) else 1 for b in bags]
+    sizes = [int(b[3].max()) + 1 if len(b[3]) else 1 for b in bags]
     first = np.concatenate(([0], np.cumsum(sizes)))
     n_sentences = int(first[-1])
     doc_of = np.repeat(np.arange(len(bags)), sizes)
-    hashes = np.concatenate([b[1] for b in bags])
-    sentence = np.concatenate([b[2] + a for b, a in zip(bags, first)])
+    hashes = np.concatenate([b[2] for b in bags])
+    sentence = np.concatenate([b[3] + a for b, a in zip(bags, first)])
     words, inverse = np.unique(hashes, return_inverse=True)
     pair = np.unique(inverse.astype(np.int64) * len(bags) + doc_of[sentence])
     df = np.bincount(pair // len(bags), minlength=len(words))
@@ -134,7 +143,7 @@ def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
         none = (1.0 - leak) * np.exp(np.bincount(doc_of, -np.logaddexp(0.0, z), minlength=len(bags)))
         total = np.clip(1.0 - none, 1e-9, 1.0)
         # d loss / d (-log none): 1 for label 0, -(none / total) for label 1
-        pull = np.where(y > 0, -none / total, 1.0) / len(bags)
+        pull = np.where(y > 0, -none / total, 1.0) * weight
         gz = pull[doc_of] * p
         gw = np.bincount(column, gz[sentence], minlength=len(words))
         g2 += gw * gw
@@ -150,15 +159,16 @@ def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
     return Model(words[used], w[used], float(bias), float(1.0 / (1.0 + np.exp(-leak_logit))))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, text_col: str) -> list[tuple]:
-    """At most ``limit`` labelled documents, in hash order of their ids, none that is held out."""
-    chosen = (
-        labels.filter("doc_id is not null and toxic is not null")
-        .filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        .withColumnRenamed("doc_id", "__id")
-    )
+def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], id_col: str, text_col: str) -> list[tuple]:
+    """(label, weight, hashes, sentences) of at most ``limits`` toxic and other labelled documents, in hash order of
+    their ids, none that is held out. A document labelled twice counts as toxic if one label says so."""
+    usable = (
+        labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    )
+    counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    first = [usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in zip((1, 0), limits)]
+    weights = {t: counts.get(t, 0) / max(1, min(counts.get(t, 0), n)) for t, n in zip((1, 0), limits)}
+    chosen = first[0].union(first[1]).withColumnRenamed("doc_id", "__id")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def hashed(batches: Iterator) -> Iterator:
@@ -173,7 +183,7 @@ def training_bags(docs: DataFrame, labels: DataFrame, limit: int, id_col: str, t
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "words", "sentences"])
 
     found = rows.select("doc_id", "text", "toxic").mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary").collect()
-    return [(t, np.frombuffer(w, "<u8"), np.frombuffer(s, "<i4").astype(np.int64)) for _, t, w, s in sorted(map(tuple, found))]
+    return [(t, weights[t], np.frombuffer(w, "<u8"), np.frombuffer(s, "<i4").astype(np.int64)) for _, t, w, s in sorted(map(tuple, found))]
 
 
 def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,13 +221,13 @@ def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, limits: tuple[int, int] = (TRAIN_TOXIC, TRAIN_OTHER), threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, worst_start, worst_end, worst_score per row of ``docs``.
 
     Labels of rows whose crc32(doc_id as text) mod 4 is 2 (a null doc_id counts
     as '') are never learned. Without labels every score is 0.
     """
-    model = fit(training_bags(docs, labels, train_docs, id_col, text_col))
+    model = fit(training_bags(docs, labels, limits, id_col, text_col))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     return score_texts(docs, model, id_col=id_col, text_col=text_col).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score"

@@ -66,22 +66,24 @@ class WordHasher:
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
 
-    def _words(self, buf: np.ndarray):
+    def _words(self, buf: np.ndarray, prefixes: tuple[int, ...] = ()):
         inside = self.table[buf] != 0
         edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
         starts, ends = edge[0::2], edge[1::2]
         if not len(starts):
-            return starts, ends, np.zeros(0, dtype=np.uint64)
+            return (starts, ends, np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.uint64) for _ in prefixes])
         self._grow(len(buf) + 1)
         sums = np.empty(len(buf) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(self.values[buf] * self._powers[: len(buf)], out=sums[1:])
-        return starts, ends, mix((sums[ends] - sums[starts]) * self._inverses[starts])
+        inverse = self._inverses[starts]
+        cut = [mix((sums[np.minimum(starts + k, ends)] - sums[starts]) * inverse + np.uint64(k)) for k in prefixes]
+        return (starts, ends, mix((sums[ends] - sums[starts]) * inverse), *cut)
 
-    def words(self, buf: np.ndarray):
-        """(starts, ends, hashes) of the words of a byte array."""
+    def words(self, buf: np.ndarray, prefixes: tuple[int, ...] = ()):
+        """(starts, ends, hashes) of the words of a byte array; then, for each length, the hashes of the words' first bytes."""
         if len(buf) <= CHUNK:
-            return self._words(buf)
+            return self._words(buf, prefixes)
         parts, at = [], 0
         while at < len(buf):
             end = min(len(buf), at + CHUNK)
@@ -91,8 +93,8 @@ class WordHasher:
                     end += int(gap[0])
                     break
                 end = min(len(buf), end + CHUNK)
-            s, e, h = self._words(buf[at:end])
-            parts.append((s + at, e + at, h))
+            s, e, *h = self._words(buf[at:end], prefixes)
+            parts.append((s + at, e + at, *h))
             at = end
         return tuple(np.concatenate(x) for x in zip(*parts))
 
