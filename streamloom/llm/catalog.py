@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import blocknames, mixing, packing, quality
+from . import blocknames, langid, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_packing": packing.op2_packing,
+        "op4_toxicity": toxicity.op4_toxicity,
+        "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": blocknames.op9_exact_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
     }
