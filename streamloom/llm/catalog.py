@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocknames, langid, mixing, packing, quality, toxicity
+from . import blocknames, jaccard, langid, mixing, packing, quality, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_packing": packing.op2_packing,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": blocknames.op9_exact_dedup,
         "op10_quality_rules": quality.op10_quality_rules,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op9_exact_dedup": blocknames.OP9_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL, "op9_exact_dedup": blocknames.OP9_SQL}
