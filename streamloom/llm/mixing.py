@@ -9,9 +9,10 @@ the copies are shuffled globally by a hash of (seed, doc_id, copy).
 
 Large means are split: Poisson(m) is the sum of independent Poisson(m / parts)
 with m / parts <= PART_MEAN, one hash each, so no distribution table is long.
-The one small table (a row a source) is aggregated map-side and joined to
-documents with salted keys: Spark broadcasts it if its size at run time allows,
-else the salt spreads a source that holds a third of all rows.
+The table of rates (a row a source, about 600 bytes) is aggregated map-side and
+its rows counted. Up to BROADCAST_SOURCES rows it is broadcast, so documents
+move once, in the final shuffle; beyond that the join is shuffled with salted
+keys, which spread a source that holds a third of all rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .common import table
 PART_MEAN = 8.0
 TABLE_LENGTH = 64  # P(Poisson(8) > 64) < 1e-30: beyond the 52 bits of the uniform number
 SALTS = 32
+BROADCAST_SOURCES = 10_000
 SEED = 17
 #: target weights by source, and of every source that is not named
 WEIGHTS: dict[str, float] = {}
@@ -37,18 +39,18 @@ def _hash(*parts: str) -> str:
     return f"(cast(conv(substring(md5(concat_ws('|', {', '.join(parts)})), 1, 13), 16, 10) as double) / 4503599627370496D)"
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float, total: float | None = None, *, source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """source, rate: the mean number of copies of each of its documents."""
+def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float, total: float | None = None, *, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(source, rate): the mean number of copies of each of its documents; and the number of sources."""
     sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.greatest(F.lit(1), F.length(F.coalesce(F.col(text_col), F.lit(""))))).alias("size"))
     weight = F.lit(float(other))
     for name, w in weights.items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
     sizes = sizes.withColumn("weight", weight)
-    sums = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size")).first()
+    sums = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"), F.count("*").alias("n")).first()
     if not sums["all_weight"]:
-        return sizes.select("source", F.lit(0.0).alias("rate"))
+        return sizes.select("source", F.lit(0.0).alias("rate")), sums["n"]
     budget = float(total if total is not None else sums["all_size"])
-    return sizes.select("source", (F.col("weight") / F.lit(float(sums["all_weight"])) * F.lit(budget) / F.col("size")).alias("rate"))
+    return sizes.select("source", (F.col("weight") / F.lit(float(sums["all_weight"])) * F.lit(budget) / F.col("size")).alias("rate")), sums["n"]
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, other: float = OTHER_WEIGHT, total: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -63,7 +65,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
     """
     docs = docs.drop("mix_part", "mix_copy", "mix_order")
     cols = docs.columns
-    rates = source_rates(docs, WEIGHTS if weights is None else weights, other, total, source_col=source_col, text_col=text_col)
+    rates, n_sources = source_rates(docs, WEIGHTS if weights is None else weights, other, total, source_col=source_col, text_col=text_col)
     cdf = f"transform(sequence(0, {TABLE_LENGTH}), k -> k)"
     rates = (
         rates.withColumn("parts", F.expr(f"cast(greatest(1, ceil(rate / {PART_MEAN}D)) as int)"))
@@ -76,14 +78,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *,
                 " struct(a.p * mean / (k + 1) as p, a.c + a.p as c, array_append(a.l, a.c + a.p) as l), a -> a.l)"
             ),
         )
-        .select(F.col("source").alias("__source"), "parts", "cdf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        .select(F.col("source").alias("__source"), "parts", "cdf")
     )
+    same = F.col(source_col).eqNullSafe(F.col("__source"))
+    if n_sources <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(rates), same).drop("__source")
+    else:
+        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn("__row_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col("__row_salt") == F.col("__salt"))).drop("__row_salt", "__salt", "__source")
     ident = f"coalesce(cast(`{id_col}` as string), '')"
     u = _hash(f"'{seed}'", ident, "cast(__part as string)")
     out = (
-        docs.withColumn("__row_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-        .join(rates, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__row_salt") == F.col("__salt")))
-        .drop("__row_salt", "__salt", "__source")
+        joined
         .withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("__u", F.expr(u))
         .withColumn("__n", F.expr("size(filter(cdf, c -> c <= __u))"))
