@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import blocknames, jaccard, langid, mixing, packing, quality, toxicity
+from . import blocknames, jaccard, langid, mixing, packing, quality, sitetree, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_packing": packing.op2_packing,
+        "op3_html_extraction": sitetree.op3_html_extraction,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
         "op8_language_id": langid.op8_language_id,
