@@ -27,6 +27,7 @@ TRAIN_TOXIC = 2500
 TRAIN_OTHER = 5500
 #: a word needs this much evidence (likelihood ratio statistic of document labels with and without it) to get a weight
 MIN_EVIDENCE = 15.0
+COUNT_BITS = 22
 ROUNDS = 300
 LEARNING_RATE = 0.3
 L1 = 1e-5
@@ -64,20 +65,20 @@ class Bags:
         end = np.minimum(stops[sentences] + 1, offsets[doc_of + 1] - 1) if len(raw) else np.zeros(0, np.int64)
         longer = [np.flatnonzero(ends - starts > k) for k in PREFIXES]
         index = np.concatenate([index, *[index[x] for x in longer]])
-        hashes = np.concatenate([hashes[0], *[h[x] for h, x in zip(hashes[1:], longer)]])
+        hashes = (np.concatenate([hashes[0], *[h[x] for h, x in zip(hashes[1:], longer)]]) >> np.uint64(32)).astype(np.uint32)
         return hashes, index, doc_of, (begin - offsets[doc_of], end - offsets[doc_of])
 
 
 class Model:
-    """words: sorted 64-bit hashes; weights; bias of a sentence; leak of a document."""
+    """words: sorted 32-bit feature hashes; weights; bias of a sentence; leak of a document."""
 
     def __init__(self, words, weights, bias: float, leak: float):
         self.words, self.weights, self.bias, self.leak = words, weights, bias, leak
         self.sieve = np.zeros(1 << 16, dtype=bool)
-        self.sieve[(words & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.sieve[words & np.uint32(0xFFFF)] = True
 
     def sentence_logits(self, hashes, index, n: int):
-        hit = np.flatnonzero(self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
+        hit = np.flatnonzero(self.sieve[hashes & np.uint32(0xFFFF)])
         z = np.full(n, self.bias)
         if len(self.words) and len(hit):
             at = np.minimum(np.searchsorted(self.words, hashes[hit]), len(self.words) - 1)
@@ -107,7 +108,7 @@ def evidence(toxic, df, positives: float, n: int):
 
 def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
     """bags: (label, weight, feature hashes, sentence of each from 0) of each training document."""
-    empty = Model(np.zeros(0, np.uint64), np.zeros(0), -8.0, 0.0)
+    empty = Model(np.zeros(0, np.uint32), np.zeros(0), -8.0, 0.0)
     if not bags:
         return empty
     y = np.array([b[0] for b in bags], dtype=float)
@@ -121,8 +122,16 @@ def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
     first = np.concatenate(([0], np.cumsum(sizes)))
     n_sentences = int(first[-1])
     doc_of = np.repeat(np.arange(len(bags)), sizes)
-    hashes = np.concatenate([b[2] for b in bags])
-    sentence = np.concatenate([b[3] + a for b, a in zip(bags, first)])
+    # first by a table of hash buckets which features may have enough evidence: the rest is never held together
+    toxic, df = np.zeros(1 << COUNT_BITS), np.zeros(1 << COUNT_BITS)
+    shift = np.uint32(32 - COUNT_BITS)
+    for (label, *_), seen in zip(bags, (np.unique(b[2] >> shift) for b in bags)):
+        df[seen] += 1
+        toxic[seen] += label
+    candidate = evidence(toxic, df, y.sum(), len(bags)) >= MIN_EVIDENCE
+    kept = [candidate[b[2] >> shift] for b in bags]
+    hashes = np.concatenate([b[2][k] for b, k in zip(bags, kept)])
+    sentence = np.concatenate([b[3][k] + a for b, k, a in zip(bags, kept, first)])
     words, inverse = np.unique(hashes, return_inverse=True)
     pair = np.unique(inverse.astype(np.int64) * len(bags) + doc_of[sentence])
     df = np.bincount(pair // len(bags), minlength=len(words))
@@ -179,11 +188,11 @@ def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], i
             out = []
             for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"]):
                 h, s, _, _ = bags.of([text or ""])
-                out.append((str(doc_id), int(toxic), h.astype("<u8").tobytes(), s.astype("<i4").tobytes()))
+                out.append((str(doc_id), int(toxic), h.astype("<u4").tobytes(), s.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "words", "sentences"])
 
     found = rows.select("doc_id", "text", "toxic").mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary").collect()
-    return [(t, weights[t], np.frombuffer(w, "<u8"), np.frombuffer(s, "<i4").astype(np.int64)) for _, t, w, s in sorted(map(tuple, found))]
+    return [(t, weights[t], np.frombuffer(w, "<u4"), np.frombuffer(s, "<i4")) for _, t, w, s in sorted(map(tuple, found))]
 
 
 def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
