@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import blocknames, jaccard, langid, mixing, packing, quality, sanitise, sitetree, toxicity
+from . import blocknames, jaccard, langid, mixing, packing, quality, quotes, sanitise, sitetree, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_html_extraction": sitetree.op3_html_extraction,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_ngram_jaccard": jaccard.op5_ngram_jaccard,
+        "op6_quote_linking": quotes.op6_quote_linking,
         "op7_pii": sanitise.op7_pii,
         "op8_language_id": langid.op8_language_id,
         "op9_exact_dedup": blocknames.op9_exact_dedup,
