@@ -31,11 +31,11 @@ WINDOW_WORDS = 5
 _BLANKS = "\\t\\n\\u000B\\u000C\\r "
 
 
-def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, words (runs of anything but ASCII white space), hashes (64 bits a word)."""
+def with_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, text, words (runs of anything but ASCII white space), hashes (64 bits a word); the whole row as ``carry``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+        docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct("*").alias(carry)] if carry else []))
         .withColumn("bare", F.expr(f"trim(BOTH '{_BLANKS}' FROM text)"))
         .withColumn("words", F.expr(r"if(bare = '', array(), split(bare, '[ \\t-\\r]+'))"))
         .drop("bare")
@@ -133,5 +133,15 @@ def score_documents(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_i
     )
 
 
+def keep_good(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    weights = log_ratios(bucket_counts(with_words(docs, id_col, text_col).select("doc_id", "hashes"), trusted))
+    scored = base_features(with_words(docs, id_col, text_col, carry="__row"))
+    verdict = ~F.col("base_failed") & (mean_log_ratio(weights) >= threshold)
+    # the row number keeps the filter where it is: pushed below, it would repeat every feature's expression
+    judged = scored.select("__row", verdict.alias("__kept"), F.monotonically_increasing_id().alias("__n"))
+    return judged.filter("__kept and __n >= 0").select("__row.*")
+
+
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))

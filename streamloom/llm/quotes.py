@@ -69,7 +69,7 @@ def parse_messages(messages: DataFrame, conv_col: str, turn_col: str, role_col:
     plain = F.expr("text not rlike '(?m)^[ \\\\t]*>'")
     rows = rows.withColumn("lines", F.when(plain, F.lit(None)).otherwise(lines)).withColumn("lines", F.when(plain, F.lit(None)).otherwise(quoted)).withColumn("runs", F.when(plain, F.lit(None)).otherwise(runs))
     unquoted = F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["line"]), "\n")
-    body = F.regexp_replace(F.when(plain, F.col("text")).otherwise(unquoted), r"^\s++|\s++$", "")
+    body = F.regexp_replace(F.when(plain, F.col("text")).otherwise(unquoted), r"^\s++|(?<!\s)\s++$", "")
     quotes = F.when(plain, F.expr("cast(array() as array<struct<level: int, line: string>>)")).otherwise(F.filter("runs", lambda r: (r["level"] > 0) & (F.trim(r["line"]) != "")))
     return rows.select("uid", "conv_id", "turn", "role", body.alias("body"), F.transform(quotes, lambda r: F.struct(r["level"].alias("level"), r["line"].alias("passage"))).alias("quotes"))
 
