@@ -49,7 +49,8 @@ def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
     blocks = src.select("uid", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> {cut})")).alias("idx", "block"))
     names = materialise(_numbered(blocks.select("block").distinct(), ["block"]).selectExpr(f"{route.format('block')} as route", "name"))
-    routed = names.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("contents"))
+    # written, so that the join below reads two plain shuffles: the planner then splits a route that many rows share
+    routed = materialise(names.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("contents")))
     rows = heads.select("uid", F.posexplode("routes").alias("idx", "route"))
     shared = routed.filter("contents > 1").select("route")
     if shared.isEmpty():
@@ -88,7 +89,7 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     one with the largest uid stays).
     """
     named = materialise(document_names(docs, **options))
-    groups = named.groupBy("levels", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size"))
+    groups = materialise(named.groupBy("levels", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")))
     return named.join(groups, ["levels", "name"]).select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
     )
