@@ -26,7 +26,7 @@ from .common import materialise, table
 
 #: turns (or depths) to a span in the two-step ranks
 SPAN = 4096
-MARKS = r"^(?:[ \t]*>)+[ \t]?"
+MARKS = r"^(?:[ \t]*+>)++[ \t]?"
 ATTRIBUTION = (
     r"(?i)^\s*(?:on\b.{0,300}\bwrote\s*:|am\b.{0,300}\bschrieb\b.{0,200}:|le\b.{0,300}\ba écrit\s*:|el\b.{0,300}\bescribió\s*:|-{2,}\s*original message\s*-{2,})\s*$"
 )

@@ -108,7 +108,7 @@ def evidence(toxic, df, positives: float, n: int):
 
 def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
     """bags: (label, weight, feature hashes, sentence of each from 0) of each training document."""
-    empty = Model(np.zeros(0, np.uint32), np.zeros(0), -8.0, 0.0)
+    empty = Model(np.zeros(0, np.uint32), np.zeros(0), -50.0, 0.0)
     if not bags:
         return empty
     y = np.array([b[0] for b in bags], dtype=float)
