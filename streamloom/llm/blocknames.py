@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import materialise, stable_rows, table, text_or_empty
 
 BLOCK_BYTES = 8192
 
@@ -31,13 +31,13 @@ def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
 def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, route: str = "xxhash64({})") -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, text_sha256, levels, name.
 
-    uid numbers the rows of ``docs`` (stable for a plan that scans files).
+    uid numbers the rows of ``docs`` (of a written copy unless ``docs`` only scans files).
     Equal (levels, name) means byte-equal texts and the other way round. A null
     text counts as empty; other columns of ``docs`` are not read. An empty table
     gives no rows. ``route`` is the SQL of the route key; any function of the
     block is right, a poor one only moves more blocks by content.
     """
-    src = docs.select(
+    src = stable_rows(docs).select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "utf-8").alias("bytes")
     ).withColumn("n_blocks", F.expr(f"greatest(1, cast(ceil(octet_length(bytes) / {block_bytes}) as int))"))
     cut = f"substring(bytes, i * {block_bytes} + 1, {block_bytes})"
@@ -97,6 +97,7 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = stable_rows(docs)
     gone = exact_duplicates(docs, **options).filter("not kept").select(F.col("uid").alias("__uid"))
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
 

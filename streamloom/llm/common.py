@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,6 +41,19 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable_rows(df: DataFrame) -> DataFrame:
+    """``df`` if its rows come in the same partitions and order each time it is read, else a written copy.
+
+    Row numbers (monotonically_increasing_id) that are taken in several passes
+    must agree. They do for plans that only scan files, project and filter; a
+    shuffle or a local collection may be dealt otherwise when other columns are
+    asked for.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] if (m := re.match(r"[\s:+\-]*(\w+)", line)) else line for line in plan.splitlines() if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation"} else materialise(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, stable_rows, table
 from .components import components
 from .wordhash import WordHasher, batches_of, blank_table, joined, mix
 
@@ -411,7 +411,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = stable_rows(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = materialise(shared_counts(rows, buckets, width))
     alive = every.filter("n_shingles > 0 and 4 * n_shared >= 3 * n_shingles").select("uid")
     n_alive = alive.count()
@@ -429,6 +429,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row of the smallest doc_id stays."""
+    docs = stable_rows(docs)
     found = jaccard_components(docs, id_col=id_col, **options)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("uid").alias("first"))
     gone = found.join(first, F.col("first") == F.col("uid"), "left_anti").select(F.col("uid").alias("__uid"))

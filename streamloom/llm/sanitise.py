@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, stable_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -171,6 +171,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     repeated rows are counted as often as they occur; an empty table gives no
     rows. Other columns are not read.
     """
+    docs = stable_rows(docs)
     base = materialise(find_base(docs, id_col, text_col))
     n = base.count()
     terms = disclosing_terms(docs, base, n, text_col=text_col, support=support, threshold=threshold) if n else None
@@ -186,6 +187,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **options) -> DataFrame:
     """doc_id, text with base values as [KIND], disclosing terms as [TERM] or, from ``remove`` on, left out."""
+    docs = stable_rows(docs)
     found = personal_data(docs, id_col=id_col, text_col=text_col, **options)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(found, "uid")
 
