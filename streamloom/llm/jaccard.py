@@ -423,7 +423,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = components(class_links(classes, class_keys(classes), **chunks))
     reached = member.join(links, F.col("rep") == F.col("node"), "left").select("uid", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("__root"))
     out = materialise(every.join(reached, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("__root", "uid").alias("__root")))
-    least = out.groupBy("__root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join reads two plain shuffles and a large component is split
+    least = materialise(out.groupBy("__root").agg(F.min("doc_id").alias("component_id")))
     return out.join(least, "__root").select("uid", "doc_id", "n_shingles", "class_id", "component_id")
 
 
