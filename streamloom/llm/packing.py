@@ -198,7 +198,8 @@ def mutate(a, lengths, capacity, rng):
     kept = [list(bins[k]) for k in range(len(bins)) if k not in gone]
     left = [free[k] for k in range(len(bins)) if k not in gone]
     items = [i for k in gone for i in bins[k]]
-    items.sort(key=lambda i: lengths[i] * rng.uniform(0.9, 1.1), reverse=True)
+    shake = rng.choice((0.1, 0.3, 0.9))
+    items.sort(key=lambda i: lengths[i] * rng.uniform(1 - shake, 1 + shake), reverse=True)
     best_fit(items, lengths, kept, left, capacity)
     return kept, left
 
