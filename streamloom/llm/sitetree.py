@@ -48,11 +48,15 @@ INLINE = frozenset(
 NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe object applet select button input textarea svg canvas audio video dialog menu head title xmp noembed noframes map datalist".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense adbox adslot sponsor sponsored sponsors promo promos promotion promoted banner banners cookie cookies consent gdpr"
-    " notice notices alert alerts popup modal overlay toast newsletter subscribe subscription signup sidebar sidebars widget widgets nav navbar navigation menu menus submenu topnav"
-    " breadcrumb breadcrumbs footer header masthead topbar toolbar social share sharing sharebar related recommended recommendations teaser teasers comment comments commentlist respond disqus"
-    " replies reply discussion search searchform login pagination pager skip hidden tags tagcloud disclaimer paywall outbrain taboola".split()
+    "ad ads adv advert adverts advertisement advertisements adsense adbox adslot adbanner adunit sponsor sponsored sponsors promo promos promotion promoted banner banners"
+    " cookie cookies cookiebar cookiebanner cookienotice consent gdpr notice notices notification notifications announcement announcements alert alerts popup modal overlay toast"
+    " newsletter subscribe subscription signup sidebar sidebars sidenav widget widgets nav navbar navigation navmenu mainnav sitenav topnav menu menus mainmenu sidemenu submenu"
+    " breadcrumb breadcrumbs footer sitefooter pagefooter masthead siteheader pageheader topbar toolbar social share sharing sharebar related recommended recommendations"
+    " comment comments commentlist respond responses reactions disqus replies reply discussion feedback guestbook search searchform login pagination pager skip hidden"
+    " tags tagcloud disclaimer paywall outbrain taboola".split()
 )
+#: noise only outside an article or main part: inside they also name the article's own title and lead
+NOISE_OUTSIDE = frozenset("header teaser teasers".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar note".split())
 #: an open element of the first is closed by a start tag of the second
 CLOSES = {
@@ -88,7 +92,7 @@ def _is_noise(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     if attrs.get("role") in NOISE_ROLES:
         return True
     names = _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))
-    return any(n in NOISE_NAMES for n in names)
+    return any(n in NOISE_NAMES or (not in_main and n in NOISE_OUTSIDE) for n in names)
 
 
 class Segment:
