@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL, "op9_exact_dedup": blocknames.OP9_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op6_quote_linking": quotes.OP6_SQL, "op5_ngram_jaccard": jaccard.OP5_SQL, "op9_exact_dedup": blocknames.OP9_SQL}

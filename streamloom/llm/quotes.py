@@ -162,3 +162,64 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 
 def op6_quote_linking(spark, sf_dir: str) -> DataFrame:
     return link_quotes(table(spark, sf_dir, "conversations"))
+
+
+_DUCK_MARKS = r"^(?:[ \t]*>)+"
+OP6_SQL = rf"""
+WITH RECURSIVE messages AS (
+  SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS rank
+  FROM conversations
+), split AS (
+  SELECT conv_id, rank, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM messages
+), marked AS (
+  SELECT conv_id, rank, i, regexp_replace(line, '{_DUCK_MARKS}[ \t]?', '') AS line,
+         length(regexp_replace(regexp_extract(line, '{_DUCK_MARKS}'), '[^>]', '', 'g')) AS level
+  FROM split
+), lines AS (
+  SELECT conv_id, rank, i, line,
+         CASE WHEN level = 0 AND regexp_matches(line, '{ATTRIBUTION}') AND lead(level) OVER w > 0 THEN -1 ELSE level END AS level
+  FROM marked WINDOW w AS (PARTITION BY conv_id, rank ORDER BY i)
+), changes AS (
+  SELECT *, CASE WHEN level = lag(level) OVER (PARTITION BY conv_id, rank ORDER BY i) THEN 0 ELSE 1 END AS change FROM lines
+), numbered AS (
+  SELECT *, sum(change) OVER (PARTITION BY conv_id, rank ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM changes
+), runs AS (
+  SELECT conv_id, rank, run, level, string_agg(line, chr(10) ORDER BY i) AS passage FROM numbered GROUP BY conv_id, rank, run, level
+), bodies AS (
+  SELECT conv_id, rank, regexp_replace(coalesce(string_agg(passage, chr(10) ORDER BY run) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS body,
+         count(*) FILTER (level > 0 AND trim(passage) <> '') AS n_quotes, coalesce(max(level) FILTER (level > 0 AND trim(passage) <> ''), 0) AS quote_level
+  FROM runs GROUP BY conv_id, rank
+), pieces AS (
+  SELECT conv_id, rank, level, passage FROM runs WHERE level > 0 AND trim(passage) <> ''
+  UNION ALL SELECT conv_id, rank, 0, body FROM bodies
+), parts AS (
+  SELECT conv_id, rank, level, unnest(list_concat([passage], string_split_regex(passage, '\n\s*\n'), string_split(passage, chr(10)))) AS part FROM pieces
+), units AS (
+  SELECT DISTINCT conv_id, rank, level, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS unit FROM parts
+), quoted AS (
+  SELECT conv_id, rank, unit, min(level) AS level FROM units WHERE level > 0 AND unit <> '' GROUP BY conv_id, rank, unit
+), found AS (
+  SELECT q.conv_id, q.rank, q.level, q.unit, max(o.rank) AS parent
+  FROM quoted q JOIN units o ON q.conv_id IS NOT DISTINCT FROM o.conv_id AND q.unit = o.unit AND o.level = 0 AND o.rank < q.rank
+  GROUP BY q.conv_id, q.rank, q.level, q.unit
+), weights AS (
+  SELECT conv_id, rank, level, parent, sum(length(unit)) AS weight FROM found GROUP BY conv_id, rank, level, parent
+), links AS (
+  SELECT conv_id, rank, arg_max(parent, (-level, weight, parent)) AS parent FROM weights GROUP BY conv_id, rank
+), tree AS (
+  SELECT m.conv_id, m.rank, coalesce(l.parent, CASE WHEN m.rank > 0 THEN m.rank - 1 END) AS parent
+  FROM messages m LEFT JOIN links l ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.rank = l.rank
+), depths AS (
+  SELECT conv_id, rank, 0::BIGINT AS depth FROM tree WHERE parent IS NULL
+  UNION ALL
+  SELECT t.conv_id, t.rank, d.depth + 1 FROM tree t JOIN depths d ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.parent = d.rank
+)
+SELECT m.conv_id, m.turn, m.role, b.body AS text, b.n_quotes, b.quote_level::INT AS quote_level, p.turn AS parent_turn, d.depth,
+       row_number() OVER (PARTITION BY m.conv_id ORDER BY d.depth, m.rank) - 1 AS position, '<|' || coalesce(m.role, '') || '|>' || chr(10) || b.body AS chat
+FROM messages m
+JOIN bodies b ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.rank = b.rank
+JOIN depths d ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.rank = d.rank
+JOIN tree t ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.rank = t.rank
+LEFT JOIN messages p ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND p.rank = t.parent
+"""

@@ -244,3 +244,31 @@ def test_quotes_awkward_rows(spark):
     for r in got.collect():
         by_conv[r["conv_id"]].append(r["position"])
     assert sorted(by_conv[1]) == list(range(6)) and sorted(by_conv[None]) == [0, 1]
+
+
+def test_quotes_equal_their_sql(spark):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(6)
+    words = "tree river stone cloud idea paper music light".split()
+    rows = []
+    for conv in range(25):
+        bodies = []
+        for turn in range(rng.randint(1, 9)):
+            text = "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+            if bodies and rng.random() < 0.6:
+                quoted = rng.choice(bodies)
+                mark = rng.choice(["> ", ">", " > "])
+                text = rng.choice(["", "On Monday X wrote:\n", "intro\n\n"]) + "\n".join(mark + x for x in quoted.split("\n")) + rng.choice(["\n", "\n\n", "\n> > deeper " + rng.choice(bodies).split("\n")[0] + "\n"]) + text
+            bodies.append(text)
+            rows.append((conv if conv else None, turn * 2, rng.choice(["user", "assistant"]), text))
+    df = spark.createDataFrame(rows, MESSAGES)
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"})
+    con.register("frame", frame)
+    con.execute("CREATE TABLE conversations AS SELECT * FROM frame")
+    want = con.execute(f"SELECT conv_id, turn, role, text, n_quotes, quote_level, parent_turn, depth, position, chat FROM ({quotes.OP6_SQL})").fetchall()
+    got = [tuple(r) for r in quotes.link_quotes(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(r[6] is not None and r[6] != r[1] - 2 for r in got)
