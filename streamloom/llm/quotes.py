@@ -161,7 +161,8 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
 
 
 def op6_quote_linking(spark, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    """All columns of link_quotes; parent_turn is -1 where there is none."""
+    return link_quotes(table(spark, sf_dir, "conversations")).withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))
 
 
 _DUCK_MARKS = r"^(?:[ \t]*>)+"
@@ -215,7 +216,7 @@ WITH RECURSIVE messages AS (
   UNION ALL
   SELECT t.conv_id, t.rank, d.depth + 1 FROM tree t JOIN depths d ON t.conv_id IS NOT DISTINCT FROM d.conv_id AND t.parent = d.rank
 )
-SELECT m.conv_id, m.turn, m.role, b.body AS text, b.n_quotes, b.quote_level::INT AS quote_level, p.turn AS parent_turn, d.depth,
+SELECT m.conv_id, m.turn, m.role, b.body AS text, b.n_quotes, b.quote_level::INT AS quote_level, coalesce(p.turn, -1) AS parent_turn, d.depth,
        row_number() OVER (PARTITION BY m.conv_id ORDER BY d.depth, m.rank) - 1 AS position, '<|' || coalesce(m.role, '') || '|>' || chr(10) || b.body AS chat
 FROM messages m
 JOIN bodies b ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.rank = b.rank
