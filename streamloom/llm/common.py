@@ -25,7 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/streamloom-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has materialised. Results that were not written yet can't be read after it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage, fixes non-deterministic columns such as row ids, and
@@ -33,11 +43,8 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     and compressed, so later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/streamloom-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
