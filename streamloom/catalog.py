@@ -54,6 +54,13 @@ def chain_arithmetic(spark, d):
     return _line(spark, _read(d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity"), rows, steps)
 
 
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS l_extendedprice, l_discount FROM lineitem")
+def apply_field(spark, d):
+    """A function of one field that is given another one of its record."""
+    node = op.ApplyField(lambda price, discount: F.round(price * (1 - discount), 4), "l_extendedprice", given={"discount": "l_discount"})
+    return _line(spark, _read(d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), node)
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0")
 def filter_not_divisible(spark, d):
     return _line(spark, _read(d, "orders", "o_orderkey", "o_custkey"), op.Where(lambda df: fn.not_divisible(df["o_orderkey"], 3)))

@@ -30,6 +30,24 @@ class Apply(Transform):
         return df.withColumn(self.column, self.function(F.col(self.column), **self.params)).where(F.col(self.column).isNotNull())
 
 
+class ApplyField(Transform):
+    """Applies a column function to one field of a record and leaves the others as they are.
+
+    ``field`` is a column, or a field of a struct column ('unit.x'). ``given``
+    maps parameters of the function to other columns or fields of the record,
+    which it gets besides ``params``.
+    """
+
+    def __init__(self, function: Callable[..., Column], field: str, params: dict | None = None, given: dict[str, str] | None = None, **kw):
+        super().__init__(**kw)
+        self.function, self.field, self.params, self.given = function, field, params or {}, given or {}
+
+    def apply(self, df):
+        value = self.function(F.col(self.field), **self.params, **{k: F.col(c) for k, c in self.given.items()})
+        column, _, inner = self.field.partition(".")
+        return df.withColumn(column, F.col(column).withField(inner, value) if inner else value)
+
+
 class PythonApply(Transform):
     """The same with a Python function of one value: batches go through Arrow. ``returns`` is the result's type."""
 

@@ -88,14 +88,20 @@ def as_rows(spark: SparkSession, data, schema=None) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def run(spark: SparkSession, graph: Graph, inputs: Mapping | None = None, results: Mapping | None = None) -> Results:
+def run(spark: SparkSession, graph: Graph, inputs: Mapping | None = None, results: Mapping | None = None, fuse: list[list[Node]] | None = None) -> Results:
     """Builds the plan. Results are all unconnected outputs or, if ``results`` (node -> ports) is given, just those.
 
     Edges that meet in one input port are united. Data provided for a node
     with inputs is united with what reaches its (first) input; for a root it is
     its data. A costly node with several edges out is persisted once.
+
+    ``fuse`` (groups of nodes to run together) is accepted as a hint and only
+    checked: Spark fuses whatever lies between two exchanges by itself.
     """
     flat = graph.flatten()
+    for node in (n for group in fuse or () for n in group):
+        if not any(n is node for n in flat.nodes):
+            raise GraphError(f"{node!r} is not in the graph")
     bound = bind_inputs(flat, inputs)
     made: dict[tuple[int, str], DataFrame] = {}
     out = Results()

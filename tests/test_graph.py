@@ -143,6 +143,14 @@ def test_costly_nodes_are_persisted_where_they_branch(spark):
         assert all("InMemoryTableScan" in df._jdf.queryExecution().executedPlan().toString() for df in found.values())
 
 
+def test_fusing_is_a_checked_hint(spark):
+    a, b = src.IntRange(0, 3), op.Identity()
+    g = Graph().pipeline(a, b)
+    assert only(run(spark, g, fuse=[[a, b]])).count() == 3
+    with pytest.raises(GraphError, match="not in the graph"):
+        run(spark, g, fuse=[[op.Identity()]])
+
+
 def test_load_graph(tmp_path):
     from streamloom.loader import load_graph
 

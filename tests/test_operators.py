@@ -151,6 +151,13 @@ def test_python_node_lifecycle(spark):
         assert sorted(values(found.of(node, "half"))) == [0, 20, 40] and values(found.of(after)) == [6]
 
 
+def test_apply_field(spark):
+    df = spark.sql("select 1L as count, named_struct('x', 2.0D, 'rf', 10.0D) as unit")
+    node = op.ApplyField(lambda x, k, rf: x * k + rf, "unit.x", {"k": 3}, given={"rf": "unit.rf"})
+    row = line(spark, src.Table(df), node).first()
+    assert row["count"] == 1 and tuple(row["unit"]) == (16.0, 10.0)
+
+
 def test_functions(spark):
     df = spark.createDataFrame([(-7,), (6,)], "value bigint")
     got = [tuple(r) for r in df.select(fn.floor_mod(F.col("value"), 3), fn.floor_divide(F.col("value"), 2), fn.not_divisible(F.col("value"), 3), fn.divide(F.col("value"), 0)).collect()]
