@@ -417,7 +417,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n_alive = alive.count()
     alive = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
     sets = materialise(_with_sets(rows.join(alive, "uid", "left_semi"), width))
-    copies = sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))
+    # written, so that the join reads two plain shuffles and a large group of copies is split
+    copies = materialise(sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")))
     member = materialise(sets.select("uid", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("uid", "rep"))
     classes = materialise(sets.join(member.filter("uid = rep").select("uid"), "uid", "left_semi").selectExpr("uid as rep", "n", "hashes"))
     links = components(class_links(classes, class_keys(classes), **chunks))
