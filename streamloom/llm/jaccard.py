@@ -41,7 +41,7 @@ from .wordhash import WordHasher, batches_of, blank_table, joined, mix
 
 WIDTH = 5
 #: shingles in a block of documents, and documents in it (two bytes number them)
-BLOCK_SHINGLES = 1 << 21
+BLOCK_SHINGLES = 1 << 19
 BLOCK_DOCS = 60_000
 #: survivors of the filter up to which their ids are broadcast (8 bytes each) rather than joined by a shuffle
 BROADCAST_IDS = 1_000_000
@@ -249,11 +249,13 @@ def _with_sets(docs: DataFrame, width: int) -> DataFrame:
 
         shingler = Shingler(width)
         for batch in batches:
-            out = []
-            for uid, s in zip(batch["uid"], shingler.sets(batch["text"].tolist())):
-                signed = s.astype("<i8")
-                out.append((uid, len(s), int(mix(s).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))).astype(np.int64)), signed))
-            yield pd.DataFrame(out, columns=["uid", "n", "s1", "s2", "hashes"])
+            texts, uids = batch["text"].tolist(), batch["uid"].tolist()
+            for a, b in batches_of(texts):  # small frames: a set takes more room than its text
+                out = []
+                for uid, s in zip(uids[a:b], shingler.sets(texts[a:b])):
+                    lo, hi = mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
+                    out.append((uid, len(s), int(lo.astype(np.int64)), int(hi.astype(np.int64)), s.astype("<i8")))
+                yield pd.DataFrame(out, columns=["uid", "n", "s1", "s2", "hashes"])
 
     return docs.select("uid", "text").mapInPandas(run, "uid bigint, n int, s1 bigint, s2 bigint, hashes array<bigint>")
 
