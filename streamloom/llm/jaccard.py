@@ -402,9 +402,10 @@ def class_links(classes: DataFrame, keys: DataFrame, chunk_classes: int = CHUNK_
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, **chunks) -> DataFrame:
-    """Per row of ``docs``: uid, doc_id, n_shingles, class_id, component_id.
+    """Per row of ``docs``: uid, doc_id, n_shingles, class_id, component_id, root.
 
-    uid numbers the rows; class_id is the least uid with the same set;
+    uid numbers the rows; class_id is the least uid with the same set; root is
+    a uid that names the component;
     component_id is the smallest doc_id reachable by links, the row's own
     included (a null doc_id is passed over unless all are null). Null texts and
     texts without words have no shingles and link with nothing. Repeated rows
@@ -428,14 +429,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     out = materialise(every.join(reached, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("__root", "uid").alias("__root")))
     # written, so that the join reads two plain shuffles and a large component is split
     least = materialise(out.groupBy("__root").agg(F.min("doc_id").alias("component_id")))
-    return out.join(least, "__root").select("uid", "doc_id", "n_shingles", "class_id", "component_id")
+    return out.join(least, "__root").select("uid", "doc_id", "n_shingles", "class_id", "component_id", F.col("__root").alias("root"))
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row of the smallest doc_id stays."""
+    """The rows of ``docs`` without near duplicates: of each component the row of the smallest doc_id stays.
+
+    Of rows with that doc_id the first one stays; in a component of null doc_ids the first row.
+    """
     docs = stable_rows(docs)
     found = jaccard_components(docs, id_col=id_col, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("uid").alias("first"))
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("uid").alias("first"))
     gone = found.join(first, F.col("first") == F.col("uid"), "left_anti").select(F.col("uid").alias("__uid"))
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
 

@@ -38,6 +38,12 @@ def test_awkward_rows(spark, monkeypatch):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 3, 4, None, 5, 6, 7, 8, 9])
 
 
+def test_rows_without_ids_are_kept_apart(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(None, text), (None, text), (None, "another text that has nothing to do with it"), (None, ""), (None, None)], "doc_id bigint, text string")
+    assert Counter(r["text"] for r in jaccard.keep_representatives(df).collect()) == Counter([text, "another text that has nothing to do with it", "", None])
+
+
 def test_borderline_pairs_around_the_threshold(spark):
     words = [f"w{i}" for i in range(400)]
     rows = []
