@@ -123,12 +123,14 @@ def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
     n_sentences = int(first[-1])
     doc_of = np.repeat(np.arange(len(bags)), sizes)
     # first by a table of hash buckets which features may have enough evidence: the rest is never held together
-    toxic, df = np.zeros(1 << COUNT_BITS), np.zeros(1 << COUNT_BITS)
+    toxic, df = np.zeros(1 << COUNT_BITS, np.float32), np.zeros(1 << COUNT_BITS, np.float32)
     shift = np.uint32(32 - COUNT_BITS)
     for (label, *_), seen in zip(bags, (np.unique(b[2] >> shift) for b in bags)):
         df[seen] += 1
         toxic[seen] += label
-    candidate = evidence(toxic, df, y.sum(), len(bags)) >= MIN_EVIDENCE
+    candidate, used = np.zeros(1 << COUNT_BITS, dtype=bool), np.flatnonzero(df)
+    candidate[used] = evidence(toxic[used].astype(float), df[used].astype(float), y.sum(), len(bags)) >= MIN_EVIDENCE
+    del toxic, df
     kept = [candidate[b[2] >> shift] for b in bags]
     hashes = np.concatenate([b[2][k] for b, k in zip(bags, kept)])
     sentence = np.concatenate([b[3][k] + a for b, k, a in zip(bags, kept, first)])
