@@ -320,7 +320,7 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_
         n_blocks = -(-n // block_items)
         dealt = items.withColumn("block", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(n_blocks))).select("uid", "length", "block", "bin")
         packed = materialise(_packed_blocks(dealt, n_blocks, capacity=capacity, islands=islands, epochs=epochs, generations=generations, population=population))
-        # 20 bits for the bin in its block are enough: a block has about block_items pieces
+        # 24 bits for the bin in its block are enough: a block has about block_items pieces
         sequence = F.expr(f"shiftleft({level + 1}L, 56) + shiftleft(block, 24) + bin")
         last = level + 1 == levels or n_blocks == 1
         packed = packed.withColumn("sequence_id", sequence)
