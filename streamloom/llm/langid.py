@@ -147,7 +147,9 @@ def training_vectors(rows: DataFrame, limit: int):
             yield pd.DataFrame(out, columns=["doc_id", "lang", "buckets", "counts"])
 
     picked = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang")
-    found = sorted(map(tuple, picked.mapInPandas(vectors, "doc_id string, lang string, buckets binary, counts binary").collect()))
+    made = picked.mapInPandas(vectors, "doc_id string, lang string, buckets binary, counts binary")
+    # one row an id, however often the documents repeat it, keeps what is collected bounded
+    found = sorted(map(tuple, made.groupBy("doc_id").agg(F.min(F.struct("lang", "buckets", "counts")).alias("m")).select("doc_id", "m.*").collect()))
     return [(lang, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, lang, b, c in found]
 
 

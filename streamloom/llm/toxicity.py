@@ -193,7 +193,9 @@ def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], i
                 out.append((str(doc_id), int(toxic), h.astype("<u4").tobytes(), s.astype("<i4").tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "toxic", "words", "sentences"])
 
-    found = rows.select("doc_id", "text", "toxic").mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary").collect()
+    made = rows.select("doc_id", "text", "toxic").mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary")
+    # one row an id, however often the documents repeat it, keeps what is collected bounded
+    found = made.groupBy("doc_id").agg(F.min(F.struct("toxic", "words", "sentences")).alias("m")).select("doc_id", "m.*").collect()
     return [(t, weights[t], np.frombuffer(w, "<u4"), np.frombuffer(s, "<i4")) for _, t, w, s in sorted(map(tuple, found))]
 
 
