@@ -2,18 +2,23 @@
 
 Base spans are found by fixed patterns (email, ip, card, phone) with checks.
 Each distinct value is a protected entity e with information content
-IC(e) = -log2 p(e). A term t near it in the corpus discloses it by
+IC(e) = -log2 p(e). A term t beside it in the corpus discloses it by
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))): all of IC(e) if t never occurs without
 e. Terms whose PMI / IC reaches GENERALISE become spans of their own wherever
 they occur; from REMOVE on they are removed from the sanitised text, below it
-generalised to a placeholder. Every probability is of documents, counted over
-the whole corpus; a pair needs SUPPORT different contexts, and at least one for
-two documents, so neither an entity that occurs once nor the copies and near
-copies of one document (their contexts share a min-hash) prove anything.
+generalised to a placeholder. Every probability is of units, counted over the
+whole corpus: a unit is a document with all its exact and near copies. A pair
+needs SUPPORT units that hold both, so neither an entity that occurs once nor
+the copies of one document prove anything, however often an entity occurs.
+
+Near copies share one of the KEYS smallest hashes of three-word shingles with
+the first document that has it, and are estimated to be NEAR alike from the
+SKETCH smallest; units are the components of these links. This is the only
+estimate: a copy that is missed counts as a document of its own.
 
 Patterns are possessive and anchored to the start of a run, so very long runs
 cost linear time and no recursion; matches are the same as those of the plain
-patterns. Positions come from the gaps between matches. Contexts are counted
+patterns. Positions come from the gaps between matches. Pairs are counted
 with map-side combining; an entity on a third of all rows is not gathered.
 """
 
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, stable_rows, table
+from .components import components
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -39,6 +45,10 @@ TERM = r"\p{L}{3,}+"
 WINDOW = 6
 REACH = 120
 SUPPORT = 3
+#: near copies: hashes looked up and compared, and the estimated Jaccard similarity from which on they are one unit
+KEYS = 8
+SKETCH = 32
+NEAR = 0.5
 GENERALISE = 0.7
 REMOVE = 0.9
 #: disclosing terms, and documents that hold one, up to which a broadcast is used
@@ -123,26 +133,61 @@ def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("base", F.concat(*[_joined(k, F.col(k)) for k in KINDS])).withColumn("mentions", F.concat(*[mention(k) for k in KINDS])).drop("text")
 
 
+def near_copies(docs: DataFrame, text_col: str) -> DataFrame:
+    """uid, unit (the smallest uid of its exact and near copies) of the documents that have any."""
+    words = docs.select(F.monotonically_increasing_id().alias("uid"), F.split(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), r"\s++").alias("words"))
+    shingles = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
+    sketches = materialise(words.select("uid", F.slice(F.sort_array(F.array_distinct(shingles)), 1, SKETCH).alias("sketch")))
+    posted = sketches.select("uid", F.explode(F.slice("sketch", 1, KEYS)).alias("key"))
+    hubs = posted.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    edges = posted.join(hubs, "key").filter("uid <> hub").select("uid", "hub").distinct()
+    both = edges.join(sketches, "uid").join(sketches.select(F.col("uid").alias("hub"), F.col("sketch").alias("other")), "hub")
+    least = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect(least, F.col("sketch")), F.col("other"))) >= NEAR * F.size(least)
+    return components(both.filter(alike).select(F.col("uid").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("uid"), F.col("root").alias("unit"))
+
+
+def _broadcast(df: DataFrame) -> DataFrame:
+    """``df``, which is written, as a broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, n_docs: int, *, text_col: str, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame | None:
     """term, disclosure (the largest PMI / IC over entities); None if no pair has enough support."""
+    copies = materialise(near_copies(docs, text_col))
+    n = F.lit(float(n_docs - copies.filter("uid <> unit").count()))
+    copies = _broadcast(copies)
+
+    def units(df: DataFrame) -> DataFrame:
+        return df.join(copies, "uid", "left").withColumn("unit", F.coalesce("unit", "uid"))
+
     mentions = base.select("uid", F.explode("mentions").alias("m")).select("uid", F.concat_ws(":", "m.kind", "m.value").alias("entity"), "m.terms")
-    pairs = mentions.select("uid", "entity", "terms", F.explode("terms").alias("term"))
-    # the min-hash of the other words around: alike for near copies of a context
-    pairs = pairs.select("uid", "entity", "term", F.array_min(F.transform(F.array_remove("terms", F.col("term")), lambda t: F.xxhash64(t))).alias("context"))
-    contexts = pairs.groupBy("entity", "term", "context").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    joint = pairs.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    strong = materialise(joint.join(contexts, ["entity", "term"]).filter("2 * contexts >= n_both").select("entity", "term", "n_both"))
+    of_entity = units(mentions.select("uid", "entity")).select("unit", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # an entity of fewer units has no pair with enough support
+    of_entity = materialise(of_entity.filter(F.col("n_entity") >= support))
+    near = mentions.join(_broadcast(of_entity), "entity").select("uid", "entity", F.explode("terms").alias("term"))
+    joint = units(near).select("unit", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    strong = materialise(joint)
     if strong.isEmpty():
         return None
-    of_entity = mentions.select("uid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = strong.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    words = docs.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("term"))
-    of_term = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(n_docs))
-    pmi = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity")))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+    def words(df: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
+        return df.select(*keep, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
+
+    # documents without copies are counted at once; only for terms that may still pass are the units of the others told apart
+    alone = words(rows.join(copies, "uid", "left_anti"), _broadcast(strong.select("term").distinct())).groupBy("term").agg(F.count("*").alias("n_alone"))
+    pairs = strong.join(of_entity, "entity").join(alone, "term", "left").withColumn("n_alone", F.coalesce("n_alone", F.lit(0)))
     ic = -F.log2(F.col("n_entity") / n)
-    scored = strong.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(F.lit(0.0)))
+
+    def disclosure(n_term: Column) -> Column:
+        pmi = F.log2(F.col("n_both") * n / (n_term * F.col("n_entity")))
+        return F.when(ic > 0, F.least(F.lit(1.0), pmi / ic)).otherwise(F.lit(0.0))
+
+    pairs = materialise(pairs.filter(disclosure(F.greatest(F.col("n_alone"), F.col("n_both"))) >= threshold))
+    others = words(rows.join(copies, "uid"), _broadcast(materialise(pairs.select("term").distinct())), "unit")
+    others = others.distinct().groupBy("term").agg(F.count("*").alias("n_others"))
+    scored = pairs.join(others, "term", "left").withColumn("disclosure", disclosure(F.col("n_alone") + F.coalesce("n_others", F.lit(0))))
     found = materialise(scored.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold))
     return None if found.isEmpty() else found
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -205,6 +206,22 @@ def test_copies_of_one_context_prove_nothing(spark):
     assert sum(len(r["terms"]) for r in sanitise.personal_data(df).collect()) == 0
 
 
+def test_hot_entities_keep_their_terms_and_near_copies_are_one_unit(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, f"{prose(20)} yours truly Zorblatt of Krumhold hot@mail.org {prose(20)}") for i in range(1500)]
+    letter = prose(40).split()
+    for i in range(30):
+        letter[i] = rng.choice(vocabulary) if i < 5 else letter[i]
+        rows.append((2000 + i, " ".join([*letter[:20], "Quimby", "once@mail.org", *letter[20:]])))
+    rows += [(3000 + i, prose(40)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    terms = {text[r["doc_id"]][m["s"] : m["e"]].lower() for r in sanitise.personal_data(df).collect() for m in r["terms"]}
+    assert {"zorblatt", "krumhold"} <= terms and "quimby" not in terms and not terms & set(vocabulary)
+
+
 # --- quotation linking --------------------------------------------------------------------------------------
 
 MESSAGES = "conv_id bigint, turn bigint, role string, text string"
