@@ -13,7 +13,9 @@ important node or, inside a marked article or main part, below INSIDE.
 What a page says about itself comes on top, since a host may have one page:
 elements and class names that stand for menus, notices, adverts, forms,
 comments and the like are never main text, and if the page marks an article or
-a main part, only that is.
+a main part, only that is. A name, a role or a form says so only of a branch
+that holds at most half of the page's text, or of its marked text if there is
+any; and names are whole class tokens, not their parts.
 
 Only (host, node) rows travel; pages are parsed twice and never shuffled while
 the low branches of all hosts fit a broadcast of checked size. Beyond it the
@@ -45,7 +47,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-NOISE_TAGS = frozenset("nav footer aside form script style noscript template iframe object applet select button input textarea svg canvas audio video dialog menu head title xmp noembed noframes map datalist".split())
+NOISE_TAGS = frozenset("nav footer aside script style noscript template iframe object applet select button input textarea svg canvas audio video dialog menu head title xmp noembed noframes map datalist".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adbox adslot adbanner adunit sponsor sponsored sponsors promo promos promotion promoted banner banners"
@@ -55,6 +57,16 @@ NOISE_NAMES = frozenset(
     " comment comments commentlist respond responses reactions disqus replies reply discussion feedback guestbook search searchform login pagination pager skip hidden"
     " tags tagcloud disclaimer paywall outbrain taboola".split()
 )
+#: a name made of those above and these is one too
+NOISE_PARTS = frozenset("site page main global primary secondary top bottom left right box block bar container wrapper wrap list area section inner outer item items link links".split())
+#: names that content has as well: as the id of a section, or of anything in an article or main part, they are anchors
+DOUBTFUL = frozenset(
+    "discussion recommendations recommended related responses reactions feedback reply replies respond notice notices notification notifications announcement announcements alert alerts"
+    " disclaimer promotion promotions consent social share sharing search tags cookies navigation comment sponsors subscription".split()
+)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: elements of the head; any other closes an open one
+HEAD_TAGS = frozenset("head title base link meta style script noscript template".split())
 #: noise only outside an article or main part: inside they also name the article's own title and lead
 NOISE_OUTSIDE = frozenset("header teaser teasers".split())
 NOISE_ROLES = frozenset("navigation banner complementary contentinfo search form dialog alertdialog alert menu menubar toolbar note".split())
@@ -75,24 +87,38 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""(?:^|\s|["'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^\W_]+")
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _NAMES.finditer(raw)} if raw and not raw.isspace() else {}
 
 
-def _is_noise(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
+def _is_noise_name(name: str, in_main: bool) -> bool:
+    """Whether a class or id stands for noise: as a whole, but for a number at its end."""
+    parts = _PART.findall(re.sub(r"[-_]?[0-9]+\Z", "", name))
+    noise = [p in NOISE_NAMES or (not in_main and p in NOISE_OUTSIDE) for p in parts]
+    return any(noise) and all(n or p in NOISE_PARTS for n, p in zip(noise, parts))
+
+
+def _noise(tag: str, attrs: dict[str, str], in_main: bool) -> int:
+    """2 if an element is noise, 1 if it is unless it holds most of the page's text, else 0."""
     if tag in NOISE_TAGS or (tag == "header" and not in_main):
-        return True
-    if not attrs or tag in ("html", "body"):
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
+        return 2
+    if tag in ("html", "body"):
+        return 0
+    if attrs and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""))):
+        return 2
+    if tag == "form":
+        return 1
+    if not attrs or tag in HEADINGS:
+        return 0
     if attrs.get("role") in NOISE_ROLES:
-        return True
-    names = _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))
-    return any(n in NOISE_NAMES or (not in_main and n in NOISE_OUTSIDE) for n in names)
+        return 1
+    ids = attrs.get("id", "").split()
+    if in_main or tag == "section":
+        ids = [n for n in ids if n not in DOUBTFUL]
+    return int(any(_is_noise_name(n, in_main) for n in attrs.get("class", "").split() + ids))
 
 
 class Segment:
@@ -113,13 +139,19 @@ def parse(page: str):
     """
     segments: list[Segment] = []
     children: dict[tuple, list[str]] = {}
-    stack: list[tuple] = [("#root", (), False, False, 0)]  # tag, path, inside main, noise, depth of the main part's parent
+    # tag, path, inside main, noise, depth of the main part's parent, innermost mark that text may lift
+    stack: list[tuple] = [("#root", (), False, False, 0, -1)]
+    above: list[int] = []  # of each such mark the one around it
+    marks: list[int] = []  # of each segment its innermost mark
     block = at = 0
 
     def text(raw: str) -> None:
         if raw:
-            _, path, main, noise, depth = stack[-1]
+            if stack[-1][0] == "head" and not raw.isspace():
+                stack.pop()
+            _, path, main, noise, depth, mark = stack[-1]
             segments.append(Segment(path, html.unescape(raw) if "&" in raw else raw, main, noise, block, depth))
+            marks.append(mark)
 
     n = len(page)
     while at < n:
@@ -143,6 +175,8 @@ def parse(page: str):
                     break
             continue
         raw = m[3] or m[6] or ""
+        if tag not in HEAD_TAGS and stack[-1][0] == "head":
+            stack.pop()
         if tag in ENDS_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -163,13 +197,17 @@ def parse(page: str):
             continue
         if tag not in INLINE:
             block += 1
-        _, path, main, noise, depth = stack[-1]
+        _, path, main, noise, depth, mark = stack[-1]
         if len(path) < 64:
             children.setdefault(path, []).append(tag)
         if tag in VOID:
             continue
         attrs = _attributes(raw)
-        noise = noise or _is_noise(tag, attrs, main)
+        degree = 0 if noise else _noise(tag, attrs, main)
+        noise = noise or degree == 2
+        if degree == 1:
+            above.append(mark)
+            mark = len(above) - 1
         if not main:
             depth = len(path)
         main = main or tag in MAIN_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articlebody"
@@ -180,10 +218,33 @@ def parse(page: str):
             at = end.end() if end else n
             continue
         if not raw.endswith("/") or tag not in ("svg", "path", "g"):
-            stack.append((tag, own, main, noise, depth))
+            stack.append((tag, own, main, noise, depth, mark))
+    _settle(segments, marks, above)
     return segments, children
 
 
+def _settle(segments: list[Segment], marks: list[int], above: list[int]) -> None:
+    """Makes segments noise below marks that hold at most half of the page's text, or of its marked text."""
+    if not above:
+        return
+    sizes = [0 if s.noise else len("".join(s.text.split())) for s in segments]
+    if any(size and s.main for s, size in zip(segments, sizes)):
+        sizes = [size if s.main else 0 for s, size in zip(segments, sizes)]
+    held = [0] * len(above)
+    for mark, size in zip(marks, sizes):
+        if mark >= 0:
+            held[mark] += size
+    for k in range(len(above) - 1, -1, -1):
+        if above[k] >= 0:
+            held[above[k]] += held[k]
+    half = sum(sizes) / 2
+    noise: list[bool] = []
+    for h, k in zip(held, above):
+        noise.append(h <= half or (k >= 0 and noise[k]))
+    for s, mark in zip(segments, marks):
+        s.noise = s.noise or (mark >= 0 and noise[mark])
+
+
 def _node(parent: int, tag: str, names: str) -> int:
     name = f"{tag}.{names}".encode("utf-8", "surrogatepass")
     mixed = (parent * 0x9E3779B97F4A7C15 + (zlib.crc32(name) << 32 | zlib.adler32(name))) & 0xFFFFFFFFFFFFFFFF

@@ -122,6 +122,23 @@ def test_main_text(page, text):
     assert sitetree.main_text(page) == text
 
 
+KEPT = [
+    ("<div class='layout has-sidebar'><article>long text</article><div class=sidebar>side</div></div>", "long text"),
+    ("<article class='post comments-open category-social'>text<div class=comments>c</div></article>", "text"),
+    ("<form id=aspnetForm><div class=search>find</div><article>text</article></form><div class=site-footer>f</div>", "text"),
+    ("<form id=aspnetForm><p>most of the text</p></form><p>rest</p>", "most of the text rest"),
+    ("<head><title>t</title><meta charset=x><body><p>text</p>", "text"),
+    ("<head><title>t</title><p>text</p>", "text"),
+    ("<article>a<section id=discussion>b</section><h2 id=related-work>c</h2><section id=recommendations>d</section><div id=comments>e</div></article>", "a b c d"),
+    ("<article>the article itself</article><div class=related><article>teaser</article></div>", "the article itself"),
+]
+
+
+@pytest.mark.parametrize("page, text", KEPT)
+def test_names_and_forms_do_not_remove_the_main_part(page, text):
+    assert sitetree.main_text(page) == text
+
+
 def test_extraction_of_awkward_rows(spark):
     rows = [(i, f"http://h{i}.x/", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, None), (3, "no host", PAGES[3][0]), (50, "", "<div>" * 3000 + "deep")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
