@@ -8,7 +8,11 @@ is the larger of the two entropies, divided by that of all pages differing: a
 menu or footer that looks and reads alike on every page has importance near 0,
 the article's nodes near 1. From each page of a host with enough pages branches
 are removed whose importance is below OUTSIDE times that of the host's most
-important node or, inside a marked article or main part, below INSIDE.
+important node or, inside a marked article or main part, below INSIDE; but only
+where the page's own presentation and content at the node recur as much: for a
+value on c of n pages ln(n / c) / ln(n) is below the same bound. Copies lower a
+node's importance for all pages, but don't remove what few of them have. What is
+noise by name has no part in the importance of the nodes around it.
 
 What a page says about itself comes on top, since a host may have one page:
 elements and class names that stand for menus, notices, adverts, forms,
@@ -17,8 +21,8 @@ a main part, only that is. A name, a role or a form says so only of a branch
 that holds at most half of the page's text, or of its marked text if there is
 any; and names are whole class tokens, not their parts.
 
-Only (host, node) rows travel; pages are parsed twice and never shuffled while
-the low branches of all hosts fit a broadcast of checked size. Beyond it the
+Only counts by host and node travel; pages are parsed twice and never shuffled
+while the low values of all hosts fit a broadcast of checked size. Beyond it the
 join is by host, and a hot host is split by the adaptive planner.
 """
 
@@ -39,7 +43,7 @@ OUTSIDE = 0.7
 INSIDE = 0.1
 #: a host whose most important node is below this shows too few different pages to judge by
 DIVERSE = 0.5
-#: (host, node) rows up to which the low branches are broadcast (about 100 bytes each)
+#: values of low nodes up to which they are broadcast (about 100 bytes each)
 BROADCAST_NODES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -198,12 +202,12 @@ def parse(page: str):
         if tag not in INLINE:
             block += 1
         _, path, main, noise, depth, mark = stack[-1]
-        if len(path) < 64:
+        attrs = {} if tag in VOID else _attributes(raw)
+        degree = 0 if noise or tag in VOID else _noise(tag, attrs, main)
+        if len(path) < 64 and not noise and not degree:
             children.setdefault(path, []).append(tag)
         if tag in VOID:
             continue
-        attrs = _attributes(raw)
-        degree = 0 if noise else _noise(tag, attrs, main)
         noise = noise or degree == 2
         if degree == 1:
             above.append(mark)
@@ -253,13 +257,16 @@ def _node(parent: int, tag: str, names: str) -> int:
 
 
 def page_nodes(page: str) -> dict[int, tuple[int, int, bool]]:
-    """{node: (presentation hash, content hash, inside a main part)} of one page; nodes with no text below them are left out."""
-    segments, children = parse(page)
+    """{node: (presentation hash, content hash, inside a main part)} of one page; nodes with no text below them, or only noise, are left out."""
+    return _nodes(*parse(page))
+
+
+def _nodes(segments: list[Segment], children: dict[tuple, list[str]]) -> dict[int, tuple[int, int, bool]]:
     outside: set[int] = set()
     content: dict[int, int] = {}
     paths: dict[int, tuple] = {}
     for s in segments:
-        bare = " ".join(s.text.split()).encode("utf-8", "surrogatepass")
+        bare = b"" if s.noise else " ".join(s.text.split()).encode("utf-8", "surrogatepass")
         if bare:
             if not s.main:
                 outside.update(s.path)
@@ -273,8 +280,11 @@ def page_nodes(page: str) -> dict[int, tuple[int, int, bool]]:
 
 
 def main_text(page: str, low: frozenset | set = frozenset()) -> str:
-    """The page's main text without noise and without branches whose node is in ``low``."""
-    segments, _ = parse(page)
+    """The page's main text without noise and without branches whose (node, presentation) and (node, content) are in ``low``, marked as in ``VALUE``."""
+    segments, children = parse(page)
+    if low:
+        nodes = _nodes(segments, children).items()
+        low = {node for node, (look, content, _) in nodes if (node, look) in low and (node, content + (1 << 32)) in low}
     good = [s for s in segments if not s.noise]
     if any(s.main and s.text.strip() for s in good):
         good = [s for s in good if s.main]
@@ -291,8 +301,12 @@ def main_text(page: str, low: frozenset | set = frozenset()) -> str:
     return " ".join(t for t in (" ".join(b.split()) for b in blocks) if t)
 
 
-def node_importance(pages: DataFrame) -> DataFrame:
-    """pages: host, html -> host, node, pages, importance (0 to 1), inside (a main part, on every page)."""
+#: presentation hashes stand below the content hashes
+VALUE = "value + shiftleft(cast(kind as bigint), 32)"
+
+
+def node_values(pages: DataFrame) -> DataFrame:
+    """pages: host, html -> host, node, kind (0: presentation, 1: content), value, c (pages that have it), inside. Values of one page are counted together as null."""
 
     def nodes(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -306,21 +320,34 @@ def node_importance(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["host", "node", "inside", "kind", "value"])
 
     counted = pages.mapInPandas(nodes, "host string, node bigint, inside boolean, kind int, value bigint").groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.min("inside").alias("inside"))
-    entropy = counted.groupBy("host", "node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.expr("c * ln(c)")).alias("s"), F.min("inside").alias("inside"))
+    return counted.groupBy("host", "node", "kind", F.when(F.col("c") > 1, F.col("value")).alias("value")).agg(F.sum("c").alias("c"), F.min("inside").alias("inside"))
+
+
+def _importance(values: DataFrame) -> DataFrame:
+    entropy = values.groupBy("host", "node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.expr("if(value is null, 0D, c * ln(c))")).alias("s"), F.min("inside").alias("inside"))
     by_kind = entropy.withColumn("h", F.expr("if(pages > 1, (ln(pages) - s / pages) / ln(pages), 1D)"))
     return by_kind.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max("h").alias("importance"), F.min("inside").alias("inside"))
 
 
-def low_branches(importance: DataFrame, min_pages: int = MIN_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
-    """host, low: the nodes to remove. Bounded by the host's templates: a node counts if it recurs on many pages."""
-    return (
-        importance.filter(F.col("pages") >= min_pages)
-        .groupBy("host")
-        .agg(F.max("importance").alias("most"), F.collect_list(F.struct("node", "importance", "inside")).alias("nodes"))
-        .filter(F.col("most") >= DIVERSE)
-        .select("host", F.expr(f"transform(filter(nodes, n -> n.importance < if(n.inside, {inside}D, {outside}D * most)), n -> n.node)").alias("low"))
-        .filter(F.size("low") > 0)
-    )
+def node_importance(pages: DataFrame) -> DataFrame:
+    """pages: host, html -> host, node, pages, importance (0 to 1), inside (a main part, on every page)."""
+    return _importance(node_values(pages))
+
+
+def low_branches(values: DataFrame, min_pages: int = MIN_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
+    """host, low: the nodes to remove, each followed by a presentation or content with which it goes.
+
+    A node goes from a page if both of the page's are listed. A value of a node
+    on n pages is listed if it is on more than n ** (1 - bound), so there are at
+    most n ** bound.
+    """
+    nodes = _importance(values).filter(F.col("pages") >= min_pages)
+    most = nodes.groupBy("host").agg(F.max("importance").alias("most")).filter(F.col("most") >= DIVERSE)
+    bound = F.expr(f"if(inside, {inside}D, {outside}D * most)")
+    low = nodes.join(most, "host").withColumn("bound", bound).filter("importance < bound").select("host", "node", "pages", "bound")
+    # presentation and content of a node are on the same pages
+    recurring = values.filter("value is not null").select("host", "node", "c", F.expr(VALUE).alias("v")).join(low, ["host", "node"]).filter("ln(pages / c) < bound * ln(pages)")
+    return recurring.groupBy("host").agg(F.flatten(F.collect_list(F.array("node", "v"))).alias("low"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
@@ -332,8 +359,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col).cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    branches = materialise(low_branches(node_importance(rows.select("host", "html")), min_pages))
-    n = branches.agg(F.sum(F.size("low"))).first()[0] or 0
+    branches = materialise(low_branches(materialise(node_values(rows.select("host", "html"))), min_pages))
+    n = (branches.agg(F.sum(F.size("low"))).first()[0] or 0) // 2
     if n <= BROADCAST_NODES:
         branches = F.broadcast(branches)
     id_type = rows.schema["page_id"].dataType.simpleString()
@@ -351,7 +378,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 if name not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[name] = frozenset(int(x) for x in nodes)
+                    known[name] = frozenset(zip(map(int, nodes[::2]), map(int, nodes[1::2])))
                 texts.append(main_text(page, known[name]))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 

@@ -161,6 +161,17 @@ def test_branches_alike_on_all_pages_go(spark):
     assert got[100] == "home about us x y all rights"
 
 
+def test_copies_do_not_remove_the_texts_of_other_pages(spark):
+    rng = random.Random(5)
+    body = "<body><div class=top1><ul><li>home</li></ul></div><div class=crumbs>{}</div><div class=c><p>{}</p></div><div class=ad>{}</div></body>"
+    rows = [(i, "http://s.example/", body.format(f"page {i}", "not found" if i < 60 else prose(rng, "aa", 30), prose(rng, "bb", 3))) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(len(got[i].split()) == 2 + 30 for i in range(60, 100)) and all("home" not in t for t in got.values())
+    # what a host's pages differ by is not its noise: all judged by their text, this host shows too little
+    same = [(i, "http://t.example/", f"<body><div><b>menu</b></div><div class=c>one text that is longer than the advert</div><div class=ad>{prose(rng, 'bb', 1)}</div></body>") for i in range(20)]
+    assert {r["text"] for r in sitetree.extract(spark.createDataFrame(same, "page_id bigint, url string, html string")).collect()} == {"menu one text that is longer than the advert"}
+
+
 def test_importance_is_normalised_entropy(spark):
     page = "<div class=a>same</div><div class=b>{}</div>"
     df = spark.createDataFrame([("h", page.format(i)) for i in range(8)], "host string, html string")
