@@ -2,7 +2,8 @@
 
 Base spans are found by fixed patterns (email, ip, card, phone) with checks.
 Each distinct value is a protected entity e with information content
-IC(e) = -log2 p(e). A term t beside it in the corpus discloses it by
+IC(e) = -log2 p(e). A term t of the same documents, at any distance and outside
+base spans, discloses it by
 PMI(t, e) = log2(p(t, e) / (p(t) p(e))): all of IC(e) if t never occurs without
 e. Terms whose PMI / IC reaches GENERALISE become spans of their own wherever
 they occur; from REMOVE on they are removed from the sanitised text, below it
@@ -40,10 +41,10 @@ PATTERNS = {
 }
 #: a text without a match of this has none of the kind
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){13}", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{3,}+"
-#: words on either side of an entity, and the characters searched for them
-WINDOW = 6
-REACH = 120
+#: words, and numbers, dates and codes: a joiner belongs to a term if a part with a digit follows
+TERM = r"[\p{L}\p{N}]++(?:[-./:_](?=\p{L}*+\p{N})[\p{L}\p{N}]++)*+"
+#: the characters a term has at least
+LEAST = 3
 SUPPORT = 3
 #: near copies: hashes looked up and compared, and the estimated Jaccard similarity from which on they are one unit
 KEYS = 8
@@ -104,7 +105,18 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= LEAST), F.lower)
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each of the sorted spans as a space."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, m):
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(m["s"] - acc["at"], F.lit(0))), F.lit(" "))
+        return F.struct(F.greatest(acc["at"], m["e"]).alias("at"), more.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def _joined(kind: str, spans: Column) -> Column:
@@ -112,25 +124,13 @@ def _joined(kind: str, spans: Column) -> Column:
 
 
 def find_base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """uid, doc_id, one span array per kind, base (kind:start:end list), mentions (kind, value, terms around)."""
+    """uid, doc_id, one span array per kind, base (kind:start:end list), entities (kind:value), bare (the text without base spans, null if it has none)."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     for k, spans in base_spans(F.col("text")).items():
         rows = rows.withColumn(k, spans)
-
-    def mention(kind):
-        def one(m):
-            left = F.substring("text", F.greatest(m["s"] - REACH + 1, F.lit(1)), F.least(m["s"], F.lit(REACH)))
-            right = F.substring("text", m["e"] + 1, F.lit(REACH))
-            # a word cut by the reach is no word of the text
-            left = F.when(m["s"] > REACH, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-            right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\S*$", "")).otherwise(right)
-            lw, rw = _words(left), _words(right)
-            around = F.concat(F.slice(F.reverse(lw), 1, WINDOW), F.slice(rw, 1, WINDOW))
-            return F.struct(F.lit(kind).alias("kind"), F.lower(m["v"]).alias("value"), F.array_distinct(around).alias("terms"))
-
-        return F.transform(F.col(kind), one)
-
-    return rows.withColumn("base", F.concat(*[_joined(k, F.col(k)) for k in KINDS])).withColumn("mentions", F.concat(*[mention(k) for k in KINDS])).drop("text")
+    entities = F.concat(*[F.transform(k, lambda m, k=k: F.concat(F.lit(f"{k}:"), F.lower(m["v"]))) for k in KINDS])
+    rows = rows.withColumn("base", F.concat(*[_joined(k, F.col(k)) for k in KINDS])).withColumn("entities", F.array_distinct(entities))
+    return rows.withColumn("bare", F.when(F.size("base") > 0, _without(F.col("text"), F.array_sort(F.concat(*KINDS))))).drop("text")
 
 
 def near_copies(docs: DataFrame, text_col: str) -> DataFrame:
@@ -161,16 +161,21 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, n_docs: int, *, text_col:
     def units(df: DataFrame) -> DataFrame:
         return df.join(copies, "uid", "left").withColumn("unit", F.coalesce("unit", "uid"))
 
-    mentions = base.select("uid", F.explode("mentions").alias("m")).select("uid", F.concat_ws(":", "m.kind", "m.value").alias("entity"), "m.terms")
-    of_entity = units(mentions.select("uid", "entity")).select("unit", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    mentions = base.select("uid", F.explode("entities").alias("entity"))
+    of_entity = units(mentions).select("unit", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # an entity of fewer units has no pair with enough support
     of_entity = materialise(of_entity.filter(F.col("n_entity") >= support))
-    near = mentions.join(_broadcast(of_entity), "entity").select("uid", "entity", F.explode("terms").alias("term"))
-    joint = units(near).select("unit", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    # only documents with such an entity are read for pairs
+    holding = mentions.join(_broadcast(of_entity), "entity").groupBy("uid").agg(F.collect_list("entity").alias("held"))
+    spanned = base.filter("bare is not null").select("uid", F.col("bare").alias("text"))
+    together = holding.join(spanned, "uid").select("uid", "held", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).select("uid", "term", F.explode("held").alias("entity"))
+    joint = units(together).select("unit", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     strong = materialise(joint)
     if strong.isEmpty():
         return None
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    of_spans = _broadcast(spanned.select("uid"))
+    rows = rows.join(of_spans, "uid", "left_anti").unionByName(spanned)
 
     def words(df: DataFrame, terms: DataFrame, *keep: str) -> DataFrame:
         return df.select(*keep, F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term", "left_semi")
@@ -222,9 +227,9 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     terms = disclosing_terms(docs, base, n, text_col=text_col, support=support, threshold=threshold) if n else None
     if terms is None:
         empty = F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")
-        return base.drop("mentions").withColumn("terms", empty).withColumn("known", F.expr("cast(array() as array<struct<term: string, disclosure: double>>)"))
+        return base.drop("entities", "bare").withColumn("terms", empty).withColumn("known", F.expr("cast(array() as array<struct<term: string, disclosure: double>>)"))
     more = _term_spans(docs, base, terms, text_col)
-    out = base.drop("mentions").join(more, "uid", "left")
+    out = base.drop("entities", "bare").join(more, "uid", "left")
     return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)"))).withColumn(
         "known", F.coalesce("known", F.expr("cast(array() as array<struct<term: string, disclosure: double>>)"))
     )

@@ -222,6 +222,19 @@ def test_hot_entities_keep_their_terms_and_near_copies_are_one_unit(spark):
     assert {"zorblatt", "krumhold"} <= terms and "quimby" not in terms and not terms & set(vocabulary)
 
 
+def test_far_terms_and_codes_are_found_and_parts_of_values_are_not(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [(i, f"Zorblatt born 1961-05-07 {prose(60)} case KX-4471b {prose(60)} zor@blatt.org") for i in range(12)]
+    rows += [(100 + i, prose(60)) for i in range(200)] + [(400, "the blatt alone"), (401, "Zorblatt again, 1961-05-07, KX-4471b")]
+    text = dict(rows)
+    got = sanitise.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = {r["doc_id"]: {text[r["doc_id"]][m["s"] : m["e"]].lower() for m in r["terms"]} for r in got.collect()}
+    assert found[0] == {"zorblatt", "born", "1961-05-07", "case", "kx-4471b"} and found[401] == {"zorblatt", "1961-05-07", "kx-4471b"}
+    assert not any(found[i] for i in range(100, 300)) and not found[400] and native(got)
+
+
 # --- quotation linking --------------------------------------------------------------------------------------
 
 MESSAGES = "conv_id bigint, turn bigint, role string, text string"
