@@ -17,7 +17,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def values(df, column="value"):
-    return [r[column] for r in df.collect()]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from conftest import values
+from values import values
 from streamloom import functions as fn
 from streamloom import operators as op
 from streamloom import sources as src
