@@ -1,12 +1,12 @@
 """Exact deduplication by deterministic block naming [native].
 
 Every text is cut into fixed-size blocks of UTF-8 bytes. The distinct blocks
-are sorted and numbered: a block's integer name. Adjacent names are then
-paired, the distinct pairs sorted and numbered in turn, until each document
-has one name. Two documents get the same (levels, name) exactly if their texts
+are sorted over all partitions and numbered: a block's integer name. Adjacent
+names are then paired, the distinct pairs sorted and numbered in turn, until
+each document has one name. No name depends on how rows are partitioned. Two documents get the same (levels, name) exactly if their texts
 are the same bytes: a name stands for one content, never for a hash of it.
 
-Only the first step moves text, once, after a map-side distinct, so a text
+Only the first step moves text, after a map-side distinct, so a text
 that a third of all rows share is shuffled once per map task. A 64-bit route
 key leads a block's name back to its documents; route keys that stand for
 more than one content are found by counting and those blocks are routed by
@@ -18,46 +18,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, stable_rows, table, text_or_empty
+from .common import dense_names, materialise, numbered, table, text_or_empty
 
 BLOCK_BYTES = 8192
 
 
-def _numbered(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Sorted integer names of distinct rows: partition number, then rank in it."""
-    return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-
-
-def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, route: str = "xxhash64({})") -> DataFrame:
+def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, block_bytes: int = BLOCK_BYTES, route: str = "xxhash64({})") -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, text_sha256, levels, name.
 
-    uid numbers the rows of ``docs`` (of a written copy unless ``docs`` only scans files).
-    Equal (levels, name) means byte-equal texts and the other way round. A null
-    text counts as empty; other columns of ``docs`` are not read. An empty table
-    gives no rows. ``route`` is the SQL of the route key; any function of the
-    block is right, a poor one only moves more blocks by content.
+    uid is the column ``uid_col`` of ``docs``, else a number taken here.
+    Equal (levels, name) means byte-equal texts and the other way round; names
+    follow the order of the blocks, not the partitions. A null text counts as
+    empty; other columns of ``docs`` are not read. An empty table gives no
+    rows. ``route`` is the SQL of the route key; any function of the block is
+    right, a poor one only moves more blocks by content.
     """
-    src = stable_rows(docs).select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "utf-8").alias("bytes")
-    ).withColumn("n_blocks", F.expr(f"greatest(1, cast(ceil(octet_length(bytes) / {block_bytes}) as int))"))
+    size = F.expr(f"greatest(1, cast(ceil(octet_length(bytes) / {block_bytes}) as int))")
     cut = f"substring(bytes, i * {block_bytes} + 1, {block_bytes})"
-    heads = materialise(
-        src.select(
-            "uid", "doc_id", F.sha2("bytes", 256).alias("text_sha256"), "n_blocks",
-            F.expr(f"transform(sequence(0, n_blocks - 1), i -> {route.format(cut)})").alias("routes"),
-        )
-    )
-    blocks = src.select("uid", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> {cut})")).alias("idx", "block"))
-    names = materialise(_numbered(blocks.select("block").distinct(), ["block"]).selectExpr(f"{route.format('block')} as route", "name"))
+    uid = F.col(uid_col) if uid_col else F.monotonically_increasing_id()
+
+    def cut_up(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        src = rows.select(uid.alias("uid"), F.col(id_col).alias("doc_id"), F.encode(text_or_empty(text_col), "utf-8").alias("bytes")).withColumn("n_blocks", size)
+        heads = src.select("uid", "doc_id", F.sha2("bytes", 256).alias("text_sha256"), "n_blocks", F.expr(f"transform(sequence(0, n_blocks - 1), i -> {route.format(cut)})").alias("routes"))
+        return materialise(heads), src.select("uid", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> {cut})")).alias("idx", "block"))
+
+    heads, blocks = cut_up(docs)
+    names = materialise(dense_names(blocks.select("block").distinct(), ["block"]).selectExpr(f"{route.format('block')} as route", "name"))
     # written, so that the join below reads two plain shuffles: the planner then splits a route that many rows share
     routed = materialise(names.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("contents")))
-    rows = heads.select("uid", F.posexplode("routes").alias("idx", "route"))
     shared = routed.filter("contents > 1").select("route")
-    if shared.isEmpty():
+    collide = not shared.isEmpty()
+    if collide and not uid_col:  # blocks and heads must agree on the numbers of rows
+        docs, uid = numbered(docs.select(id_col, text_col), "__uid"), F.col("__uid")
+        heads, blocks = cut_up(docs)
+    rows = heads.select("uid", F.posexplode("routes").alias("idx", "route"))
+    if not collide:
         rows = rows.join(routed, "route").select("uid", "idx", "name")
     else:
         by_content = blocks.selectExpr("uid", "idx", "block", f"{route.format('block')} as route").join(shared, "route", "left_semi")
-        again = materialise(_numbered(by_content.select("block").distinct(), ["block"]).selectExpr("block", "-1 - name as name"))
+        again = materialise(dense_names(by_content.select("block").distinct(), ["block"]).selectExpr("block", "-1 - name as name"))
         rows = rows.join(routed.filter("contents = 1"), "route").select("uid", "idx", "name").union(by_content.join(again, "block").select("uid", "idx", "name"))
     most = heads.agg(F.max("n_blocks")).first()[0] or 1
     sizes = heads.select("uid", "n_blocks")
@@ -70,7 +69,7 @@ def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             .groupBy("uid", F.expr("idx div 2").cast("int").alias("idx"), "n_blocks")
             .agg(F.max(F.expr("if(idx % 2 = 0, name, null)")).alias("a"), F.max(F.expr("if(idx % 2 = 1, name, null)")).alias("b"))
         )
-        named = materialise(_numbered(pairs.select("a", "b").distinct(), ["a", "b"]))
+        named = materialise(dense_names(pairs.select("a", "b").distinct(), ["a", "b"]))
         rows = pairs.alias("p").join(named.alias("q"), F.expr("p.a = q.a and p.b <=> q.b")).selectExpr("p.uid", "p.idx", "q.name", "p.n_blocks")
         most = (most + 1) // 2
         level += 1
@@ -96,10 +95,10 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    docs = stable_rows(docs)
-    gone = exact_duplicates(docs, **options).filter("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    """The rows of ``docs`` that stay, with all their columns, from a written copy of it."""
+    docs = numbered(docs, "__uid")
+    gone = exact_duplicates(docs, uid_col="__uid", **options).filter("not kept").select(F.col("uid").alias("__uid"))
+    return docs.join(gone, "__uid", "left_anti").drop("__uid")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,26 +1,33 @@
-"""Helpers shared by the corpus operators: shared storage, safe columns, row ids."""
+"""Helpers shared by the corpus operators: shared storage, row numbers, dense names."""
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: folders of the temporary() blocks that are open, innermost last
+_open: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor share.
+    """Folder that the driver and every executor share: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder of this machine is taken, once a session.
+    Only where that is unset and the master runs in this process (tests) a
+    temporary folder of this machine is taken, once a session.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="streamloom-"))
     return sc.getCheckpointDir()
 
@@ -29,25 +36,51 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/streamloom-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has materialised. Results that were not written yet can't be read after it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, _own_folder(spark))
+
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is materialised in this block is deleted at its end, but for ``materialise(df, keep=True)``."""
+    folder = f"{_open[-1] if _open else _own_folder(spark)}/{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield
+    finally:
+        _open.pop()
+        _delete(spark, folder)
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
 
-    Cuts the lineage, fixes non-deterministic columns such as row ids, and
+def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back; with ``keep`` it outlives the innermost temporary().
+
+    Cuts the lineage, fixes non-deterministic columns such as row numbers, and
     survives the loss of any executor. Unlike ``checkpoint()`` it is columnar
     and compressed, so later reads prune columns.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    scopes = [_own_folder(spark), *_open]
+    path = f"{scopes[-2] if keep and len(scopes) > 1 else scopes[-1]}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
+    """A written copy of ``df`` with a number ``name`` for each row.
+
+    Numbers are taken once and written: taken anew in another pass they would
+    follow the partitions of that pass, which change with the cluster's size.
+    """
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def stable_rows(df: DataFrame) -> DataFrame:
     """``df`` if its rows come in the same partitions and order each time it is read, else a written copy.
 
@@ -61,6 +94,21 @@ def stable_rows(df: DataFrame) -> DataFrame:
     return df if nodes <= {"Project", "Filter", "Relation"} else materialise(df)
 
 
+def dense_names(rows: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+    """Distinct ``rows`` with the number, from 0, of each in the order of ``keys``: the same however rows are partitioned.
+
+    Rows are range-partitioned and sorted; a number is that in its partition
+    plus the rows of the partitions before (one total a partition).
+    """
+    placed = materialise(rows.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    totals = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row a partition, so one task may order them
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = materialise(totals.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")))
+    inside = F.col("__at") - F.shiftleft(F.col("__part"), 33)
+    return placed.join(F.broadcast(first), part == F.col("__part")).withColumn(name, F.col("__first") + inside).drop("__at", "__part", "__first")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-MAX_ROUNDS = 60
+from .common import materialise, temporary
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -32,21 +30,21 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: bigint), root being the smallest node it reaches.
 
-    Both steps group by node and take minima with map-side combining, so a hub
-    with very many neighbours is not gathered anywhere; the joins that follow
-    leave skew to the adaptive planner. The number of rounds grows with the
-    logarithm of the longest chain; each is written to the shared folder.
+    Both steps take minima with map-side combining. The minima are written
+    before they are joined: the join then reads two plain shuffles, so the
+    adaptive planner splits a hub with very many neighbours (it can't split a
+    side that is an aggregate). The number of rounds grows with the logarithm
+    of the longest chain; each is written to the shared folder and the one
+    before it is deleted.
     """
+    spark = edges.sparkSession
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            break
-        edges = materialise(_small_star(_large_star(edges)))
+    while state[0]:
+        with temporary(spark):
+            edges = materialise(_small_star(materialise(_large_star(edges))), keep=True)
         new = _state(edges)
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError("components did not converge")
     return edges.selectExpr("a as node", "b as root").union(edges.selectExpr("b as node", "b as root").distinct())

@@ -15,13 +15,16 @@ of its shingles in common with another document. The steps:
    the fixed sizes that a link must share; heavy sets are looked up in the
    inverted lists of the shingles in their prefix (the n - ceil(0.75 n) + 1
    rarest: two linked sets share one of them). The boundary is the one of
-   least cost, from the counts of small sets and the mean list length.
-4. Families: components of the classes that share a key. A family is checked
-   in tasks of bounded size (pairs of chunks for a large one); in a task a
-   class is compared only with key-sharing classes that its component has not
-   reached yet, so thousands of near copies cost a few comparisons each and
-   no pairs are listed. Every comparison is exact on the whole sets.
-5. Components of the links found, spread to the copies.
+   least cost by the measured lengths of the lists that sets of each size read.
+4. Hubs: of each key's classes the one with the least number is its hub. Every
+   class is compared with the least hub of its keys first, in tasks of bounded
+   size, which joins most near copies at once without listing their pairs.
+5. Cells: the classes of one least hub are a cell (several, if they are many).
+   Two cells meet in a task if they share a key whose classes are not yet all
+   joined, and only classes with such a key go there. In a task a class is
+   compared only with key-sharing classes that its component has not reached.
+   Every comparison is exact on the whole sets.
+6. Components of the links found, spread to the copies.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, stable_rows, table
+from .common import materialise, numbered, table, temporary
 from .components import components
 from .wordhash import WordHasher, batches_of, blank_table, joined, mix
 
@@ -45,11 +48,12 @@ BLOCK_SHINGLES = 1 << 19
 BLOCK_DOCS = 60_000
 #: survivors of the filter up to which their ids are broadcast (8 bytes each) rather than joined by a shuffle
 BROADCAST_IDS = 1_000_000
-#: classes, and shingles, of a chunk of a family
-CHUNK_CLASSES = 2000
-CHUNK_SHINGLES = 2_000_000
-#: the largest size that the cost model may call light
-MAX_BOUNDARY = 12
+#: UTF-8 bytes of text whose shingles share a bucket of step 1
+BUCKET_BYTES = 8 << 20
+#: classes, and shingles, of a cell, and of a task that compares with one hub
+CELL_CLASSES = 1000
+CELL_SHINGLES = 1_000_000
+HUB_CLASSES = 250
 
 _STEP = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -111,9 +115,12 @@ def _unpack(n: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(low + (high << 16)), doc
 
 
-def shared_counts(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFrame:
+def shared_counts(docs: DataFrame, buckets: int, parts: int, width: int = WIDTH) -> DataFrame:
     """docs: uid, doc_id, text -> uid, doc_id, n_shingles, n_shared (shingles that another document may hold).
 
+    ``buckets`` grows with the text, so that a bucket fits a Python worker and
+    its 32-bit fingerprints hardly collide; they are dealt evenly to ``parts`` tasks.
+
     n_shared never counts too few; by collisions of fingerprints it may count a
     few too many, which only weakens the filter.
     """
@@ -210,7 +217,7 @@ def shared_counts(docs: DataFrame, buckets: int, width: int = WIDTH) -> DataFram
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(send, "bucket int, block bigint, n int, packed binary, docs array<string>")
-    answered = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(answer, "block bigint, n int, packed binary, docs array<string>")
+    answered = sent.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInPandas(answer, "block bigint, n int, packed binary, docs array<string>")
     totals = answered.repartition("block").sortWithinPartitions("block").mapInPandas(total, "uid bigint, doc_id string, n_shingles bigint, n_shared bigint")
     return totals.withColumn("doc_id", F.col("doc_id").cast(id_type))
 
@@ -272,24 +279,38 @@ def prefix_length(n: int) -> int:
     return n - (-(-3 * n // 4)) + 1
 
 
-def choose_boundary(small: dict[int, int], mean_list: float) -> int:
-    """The size up to which enumerating subsets costs least, given the number of sets of each small size."""
-    best, boundary, cost = 0.0, 0, 0.0
-    for n in range(1, MAX_BOUNDARY + 1):
-        light = sum(comb(n, c) for c in subset_sizes(n))
-        heavy = prefix_length(n) * mean_list
-        cost += small.get(n, 0) * (light - heavy)
-        if cost < best:
-            best, boundary = cost, n
-    return boundary
+def light_cost(n: int) -> int:
+    """How many subsets a light set of n shingles enumerates."""
+    return sum(comb(n, c) for c in subset_sizes(n))
+
+
+def largest_light(longest_list: int) -> int:
+    """No boundary beyond this can be of least cost: there, reading even the longest list for each prefix shingle is cheaper."""
+    n = 0
+    while light_cost(n + 1) <= prefix_length(n + 1) * longest_list:
+        n += 1
+    return n
 
 
-def subset_keys(hashes: np.ndarray) -> list[int]:
-    """One 64-bit key for each subset of the fixed sizes."""
+def choose_boundary(by_size: dict[int, tuple[int, int]], largest: int) -> int:
+    """The size up to which enumerating subsets costs least; ``by_size`` has of each size the number of sets and of the entries in the lists they read.
+
+    A light set that may link with a heavy one (from 3/4 of the least heavy size) reads its lists too.
+    """
+    best = (0, 0)
+    for boundary in range(1, largest + 1):
+        light = sum(light_cost(n) * sets for n, (sets, _) in by_size.items() if n <= boundary)
+        spared = sum(entries for n, (_, entries) in by_size.items() if 4 * n < 3 * (boundary + 1))
+        best = min(best, (light - spared, boundary))
+    return best[1]
+
+
+def subset_keys(hashes: np.ndarray, n: int) -> list[int]:
+    """One 64-bit key for each subset of the fixed sizes that a set of n shingles, of which ``hashes`` occur elsewhere, may share."""
     h = [int(x) for x in mix(hashes.astype(np.uint64))]
     mask = (1 << 64) - 1
     out = []
-    for c in subset_sizes(len(h)):
+    for c in subset_sizes(n):
         out += [(sum(s) * 0x9E3779B97F4A7C15 + c) & mask for s in itertools.combinations(h, c)]
     return np.array(out, dtype=np.uint64).astype(np.int64).tolist()
 
@@ -297,114 +318,137 @@ def subset_keys(hashes: np.ndarray) -> list[int]:
 def class_keys(classes: DataFrame) -> DataFrame:
     """classes: rep, n, hashes -> rep, keys: what linked sets share at least one of."""
     postings = classes.select("rep", "n", F.explode("hashes").alias("h"))
-    df = postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    # written, so that the join reads two plain shuffles and a very common shingle is split
+    df = materialise(postings.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"))
     common = postings.join(df, "h").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("common"))
-    stats = df.agg(F.sum("df").alias("rows"), F.count("*").alias("lists")).first()
-    mean_list = (stats["rows"] or 0) / max(1, stats["lists"])
-    small = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= MAX_BOUNDARY).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    boundary = choose_boundary(small, mean_list)
     # the shingles that only this class holds come first in the prefix and are in no list
     left = F.expr("(n - cast(ceil(0.75 * n) as int) + 1) - (n - size(common))")
-    lists = common.withColumn("left", left).filter(f"left > 0 and n >= ceil(0.75 * {boundary + 1})").select("rep", F.expr("transform(slice(common, 1, left), x -> x.h)").alias("keys"))
+    able = materialise(common.withColumn("left", left).filter("left > 0"))
+    largest = largest_light(df.agg(F.max("df")).first()[0] or 0)
+    sizes = able.filter(F.col("n") <= largest).groupBy("n").agg(F.count("*").alias("sets"), F.sum(F.expr("aggregate(slice(common, 1, left), 0L, (a, x) -> a + x.df)")).alias("entries"))
+    boundary = choose_boundary({r["n"]: (r["sets"], r["entries"]) for r in sizes.collect()}, largest)  # a row a small size
+    lists = able.filter(4 * F.col("n") >= 3 * (boundary + 1)).select("rep", F.expr("transform(slice(common, 1, left), x -> x.h)").alias("keys"))
     if not boundary:
         return lists
 
     def enumerate_(batches: Iterator) -> Iterator:
         for batch in batches:
-            batch["keys"] = [subset_keys(np.asarray(h)) for h in batch["hashes"]]
+            batch["keys"] = [subset_keys(np.asarray(h), n) for h, n in zip(batch["hashes"], batch["n"])]
             yield batch[["rep", "keys"]]
 
-    light = classes.filter(F.col("n") <= boundary).select("rep", "hashes").mapInPandas(enumerate_, "rep bigint, keys array<bigint>")
+    light = able.filter(F.col("n") <= boundary).select("rep", "n", F.expr("transform(common, x -> x.h)").alias("hashes")).mapInPandas(enumerate_, "rep bigint, keys array<bigint>")
     return lists.union(light).groupBy("rep").agg(F.flatten(F.collect_list("keys")).alias("keys"))
 
 
-# --- step 4: links inside families ----------------------------------------------------------------
+# --- steps 4 and 5: links -------------------------------------------------------------------------
 
 
 def linked(a: int, b: int, both):
     return 100 * both >= 75 * (a + b - both)
 
 
-def link_classes(reps: np.ndarray, sets: list[np.ndarray], keys: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(rep, smallest rep of its component) of all classes that link with another one here."""
+def links_of(base: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Of each other set whether it links with ``base``; sets are sorted, distinct and not empty."""
+    sizes = np.array([len(s) for s in others], dtype=np.int64)
+    flat = np.concatenate(others)
+    hit = base[np.minimum(np.searchsorted(base, flat), len(base) - 1)] == flat
+    both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return linked(len(base), sizes, both)
+
+
+def _sorted_set(hashes) -> np.ndarray:
+    return np.sort(np.asarray(hashes, dtype=np.int64))
+
+
+def hub_links(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """members: rep, hub, n_tasks (tasks that share the hub's members) -> (a, b): members that link with their hub."""
+    task = F.pmod(F.xxhash64("rep"), F.col("n_tasks")).alias("task")
+    hubs = members.select(F.col("hub").alias("rep"), "n_tasks").distinct().join(classes.select("rep", "hashes"), "rep")
+    hubs = hubs.select(F.col("rep").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tasks") - 1)).alias("task"), F.lit(-1).cast("bigint").alias("rep"), "hashes")
+    rows = hubs.union(members.filter("rep <> hub").join(classes.select("rep", "hashes"), "rep").select("hub", task, "rep", "hashes"))
+
+    def link(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for part in _groups(batches, ["hub", "task"]):
+            if len(part) < 2:
+                continue
+            good = links_of(_sorted_set(part["hashes"].iloc[0]), [np.asarray(h, dtype=np.int64) for h in part["hashes"].iloc[1:]])
+            yield pd.DataFrame({"a": part["rep"].to_numpy()[1:][good], "b": int(part["hub"].iloc[0])})
+
+    return rows.repartition("hub", "task").sortWithinPartitions("hub", "task", "rep").mapInPandas(link, "a bigint, b bigint")
+
+
+def cell_links(reps, cells, comps, sets: list[np.ndarray], keys: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (of reps) that join the components of classes which share a key; of two cells only links between them."""
     m = len(reps)
+    both_cells = len(set(cells)) > 1
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate(keys) if m else np.zeros(0, np.int64)
+    group = np.unique(comps, return_inverse=True)[1].copy()
+    flat = np.concatenate(keys)
     owner = np.repeat(np.arange(m), [len(k) for k in keys])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    _, inverse_start = np.unique(flat, return_index=True)
-    names = flat[inverse_start] if len(flat) else flat
-    ends = np.append(inverse_start[1:], len(flat))
-    free = np.ones(m, dtype=bool)
     out: list[tuple[int, int]] = []
-    n_free = m
-    for seed in np.argsort(reps):
-        if not free[seed]:
-            continue
-        if not n_free:
-            break
-        free[seed] = False
-        n_free -= 1
-        group, queue = [seed], [seed]
-        while queue and n_free:
-            d = queue.pop()
-            at = np.searchsorted(names, keys[d])
-            near = np.unique(np.concatenate([owner[inverse_start[i] : ends[i]] for i in at])) if len(at) else np.zeros(0, np.int64)
-            near = near[free[near]]
-            small, large = np.minimum(sizes[near], sizes[d]), np.maximum(sizes[near], sizes[d])
-            near = near[4 * small >= 3 * large]
-            if not len(near):
-                continue
-            base = sets[d]
-            for chunk in np.array_split(near, max(1, int(sizes[near].sum()) // 4_000_000 + 1)):
-                if not len(chunk):
-                    continue
-                other = np.concatenate([sets[i] for i in chunk])
-                hit = base[np.minimum(np.searchsorted(base, other), len(base) - 1)] == other
-                both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[chunk])[:-1])))
-                good = chunk[linked(sizes[d], sizes[chunk], both)]
-                free[good] = False
-                n_free -= len(good)
-                group += good.tolist()
-                queue += good.tolist()
-        if len(group) > 1:
-            root = int(min(reps[i] for i in group))
-            out += [(int(reps[i]), root) for i in group if int(reps[i]) != root]
+    for d in range(m):
+        lo, hi = np.searchsorted(flat, keys[d], "left"), np.searchsorted(flat, keys[d], "right")
+        near = np.unique(np.concatenate([owner[x:y] for x, y in zip(lo, hi)])) if len(lo) else np.zeros(0, np.int64)
+        near = near[near > d]
+        if both_cells:
+            near = near[cells[near] != cells[d]]
+        near = near[4 * np.minimum(sizes[near], sizes[d]) >= 3 * np.maximum(sizes[near], sizes[d])]
+        near = near[group[near] != group[d]]
+        while len(near):
+            some = near[: max(1, int(np.searchsorted(np.cumsum(sizes[near]), 4_000_000)))]
+            near = near[len(some) :]
+            for k in some[links_of(sets[d], [sets[i] for i in some])]:
+                if group[k] != group[d]:
+                    out.append((int(reps[d]), int(reps[k])))
+                    group[group == group[k]] = group[d]
+            near = near[group[near] != group[d]]
     return out
 
 
-def class_links(classes: DataFrame, keys: DataFrame, chunk_classes: int = CHUNK_CLASSES, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+def class_links(classes: DataFrame, keys: DataFrame, cell_classes: int = CELL_CLASSES, cell_shingles: int = CELL_SHINGLES, hub_classes: int = HUB_CLASSES) -> DataFrame:
     """(a, b): edges whose components are those of all links between classes."""
-    keys = materialise(keys)
-    posted = keys.select("rep", F.explode("keys").alias("key"))
-    hubs = posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
-    families = materialise(components(posted.join(hubs, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")))).withColumnRenamed("node", "rep")
-    members = classes.join(families, "rep").join(keys, "rep")
-    sizes = families.join(classes.select("rep", "n"), "rep").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / chunk_classes), F.ceil(F.sum("n") / chunk_shingles)).cast("int").alias("chunks"))
-    dealt = (
-        members.join(sizes, "root")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "hashes", "keys")
-    )
+    posted = materialise(keys).select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    lists = materialise(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"))
+    posted = materialise(posted.join(lists, "key").select("rep", "key", "hub"))
+    least = materialise(posted.groupBy("rep").agg(F.min("hub").alias("hub")).join(classes.select("rep", "n"), "rep"))
+    parts = lambda limit: F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("n") / cell_shingles)).cast("bigint")
+    sizes = materialise(least.groupBy("hub").agg(parts(hub_classes).alias("n_tasks"), parts(cell_classes).alias("n_cells")))
+    members = materialise(least.join(sizes, "hub").select("rep", "hub", "n_tasks", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("n_cells"))).alias("cell")))
+    first = materialise(hub_links(classes, members.select("rep", "hub", "n_tasks")))
+    joined = members.join(components(first), F.col("rep") == F.col("node"), "left").select("rep", "cell", F.coalesce("root", "rep").alias("comp"))
+    tagged = materialise(posted.select("rep", "key").join(materialise(joined), "rep"))
+    open_ = materialise(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
+    tagged = materialise(tagged.join(open_, "key"))
+    # of each open key its cells, and whether all its classes there are of one component
+    others = materialise(tagged.groupBy("key", F.col("cell").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    meet = tagged.join(others, "key").filter("not (lo = comp and hi = comp)")
+    meet = meet.select("rep", "cell", "comp", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j")).distinct()
+    open_keys = tagged.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    dealt = meet.join(open_keys, "rep").join(classes.select("rep", "hashes"), "rep")
 
     def link(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        for part in _groups(batches, ["root", "i", "j"]):
-            sets = [np.sort(np.asarray(h, dtype=np.int64)) for h in part["hashes"]]
-            found = link_classes(part["rep"].to_numpy(), sets, [np.unique(np.asarray(k, dtype=np.int64)) for k in part["keys"]])
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
+        for part in _groups(batches, ["i", "j"]):
+            if len(part) > 1:
+                sets = [_sorted_set(h) for h in part["hashes"]]
+                found = cell_links(part["rep"].to_numpy(), part["cell"].to_numpy(), part["comp"].to_numpy(), sets, [np.asarray(k, dtype=np.int64) for k in part["keys"]])
+                if found:
+                    yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInPandas(link, "a bigint, b bigint")
+    second = dealt.select("i", "j", "rep", "cell", "comp", "hashes", "keys").repartition("i", "j").sortWithinPartitions("i", "j", "rep").mapInPandas(link, "a bigint, b bigint")
+    return first.union(materialise(second))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, buckets: int | None = None, **chunks) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES, **cells) -> DataFrame:
     """Per row of ``docs``: uid, doc_id, n_shingles, class_id, component_id, root.
 
-    uid numbers the rows; class_id is the least uid with the same set; root is
+    uid is the column ``uid_col`` of ``docs``, else a number given to the rows
+    of a written copy; class_id is the least uid with the same set; root is
     a uid that names the component;
     component_id is the smallest doc_id reachable by links, the row's own
     included (a null doc_id is passed over unless all are null). Null texts and
@@ -413,22 +457,26 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stable_rows(docs).select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    every = materialise(shared_counts(rows, buckets, width))
-    alive = every.filter("n_shingles > 0 and 4 * n_shared >= 3 * n_shingles").select("uid")
-    n_alive = alive.count()
-    alive = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
-    sets = materialise(_with_sets(rows.join(alive, "uid", "left_semi"), width))
-    # written, so that the join reads two plain shuffles and a large group of copies is split
-    copies = materialise(sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")))
-    member = materialise(sets.select("uid", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("uid", "rep"))
-    classes = materialise(sets.join(member.filter("uid = rep").select("uid"), "uid", "left_semi").selectExpr("uid as rep", "n", "hashes"))
-    links = components(class_links(classes, class_keys(classes), **chunks))
-    reached = member.join(links, F.col("rep") == F.col("node"), "left").select("uid", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("__root"))
-    out = materialise(every.join(reached, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("__root", "uid").alias("__root")))
-    # written, so that the join reads two plain shuffles and a large component is split
-    least = materialise(out.groupBy("__root").agg(F.min("doc_id").alias("component_id")))
+    with temporary(spark):
+        rows = docs.select(*([F.col(uid_col).alias("uid")] if uid_col else []), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+        rows = rows if uid_col else numbered(rows)
+        least_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(4 * least_parts, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+        every = materialise(shared_counts(rows, buckets, -(-buckets // 4), width))
+        alive = every.filter("n_shingles > 0 and 4 * n_shared >= 3 * n_shingles").select("uid")
+        n_alive = alive.count()
+        alive = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
+        sets = materialise(_with_sets(rows.join(alive, "uid", "left_semi"), width))
+        # written, so that the join reads two plain shuffles and a large group of copies is split
+        copies = materialise(sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")))
+        member = materialise(sets.select("uid", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("uid", "rep"))
+        classes = materialise(sets.join(member.filter("uid = rep").select("uid"), "uid", "left_semi").selectExpr("uid as rep", "n", "hashes"))
+        links = components(class_links(classes, class_keys(classes), **cells))
+        reached = member.join(links, F.col("rep") == F.col("node"), "left").select("uid", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("__root"))
+        out = every.join(reached, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("__root", "uid").alias("__root"))
+        out = materialise(out, keep=True)
+        # written, so that the join reads two plain shuffles and a large component is split
+        least = materialise(out.groupBy("__root").agg(F.min("doc_id").alias("component_id")), keep=True)
     return out.join(least, "__root").select("uid", "doc_id", "n_shingles", "class_id", "component_id", F.col("__root").alias("root"))
 
 
@@ -437,11 +485,11 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", **options)
 
     Of rows with that doc_id the first one stays; in a component of null doc_ids the first row.
     """
-    docs = stable_rows(docs)
-    found = jaccard_components(docs, id_col=id_col, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("uid").alias("first"))
+    docs = numbered(docs, "__uid")
+    found = jaccard_components(docs, id_col=id_col, uid_col="__uid", **options)
+    first = materialise(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("uid").alias("first")))
     gone = found.join(first, F.col("first") == F.col("uid"), "left_anti").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    return docs.join(gone, "__uid", "left_anti").drop("__uid")
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def found(df, **options):
     return Counter(map(tuple, jaccard.jaccard_components(df, **options).select("doc_id", "n_shingles", "component_id").collect()))
 
 
-@pytest.mark.parametrize("seed, options", [(0, {}), (1, {"chunk_classes": 3}), (2, {"chunk_shingles": 200, "buckets": 3})])
+@pytest.mark.parametrize("seed, options", [(0, {}), (1, {"cell_classes": 3}), (2, {"cell_shingles": 200, "bucket_bytes": 300}), (3, {"cell_classes": 1, "hub_classes": 2})])
 def test_components_equal_all_pairs(spark, seed, options):
     df = spark.createDataFrame(corpus(seed, 120), SCHEMA).repartition(5)
     assert found(df, **options) == expected([(r["doc_id"], r["text"]) for r in df.collect()])
@@ -67,7 +67,7 @@ def test_a_large_family_of_near_copies(spark):
             own[rng.randrange(150)] = f"x{i}"
         rows.append((i, " ".join(own)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert found(df, chunk_classes=40) == expected(rows)
+    assert found(df, cell_classes=40) == expected(rows)
 
 
 def test_boundary_and_subsets():
@@ -75,13 +75,27 @@ def test_boundary_and_subsets():
         for a in range(-(-3 * n // 4), n + 1):  # the smaller partner's size
             least = -(-3 * (a + n) // 7)
             assert any(c <= least for c in jaccard.subset_sizes(n)) and -(-6 * a // 7) in jaccard.subset_sizes(n)
-    assert jaccard.choose_boundary({}, 2.0) == 0 and jaccard.choose_boundary({1: 5, 2: 5}, 50.0) >= 2
-    assert len(jaccard.subset_keys(np.arange(7))) == sum(len(list(jaccard.itertools.combinations(range(7), c))) for c in jaccard.subset_sizes(7))
+    assert jaccard.choose_boundary({}, 9) == 0 and jaccard.choose_boundary({4: (10, 10)}, 9) == 0 and jaccard.choose_boundary({4: (10, 5000), 30: (9, 9)}, 9) >= 5
+    assert jaccard.largest_light(0) == 0 and jaccard.light_cost(jaccard.largest_light(1000)) <= 1000 * jaccard.prefix_length(jaccard.largest_light(1000))
+    assert len(jaccard.subset_keys(np.arange(7), 7)) == jaccard.light_cost(7) and len(jaccard.subset_keys(np.arange(5), 7)) < jaccard.light_cost(7)
+
+
+def test_the_cost_makes_small_sets_with_long_lists_light(spark, monkeypatch):
+    """A common beginning of seven words and one of its own: their lists are long, and one short text links with all."""
+    rng = random.Random(4)
+    rows = [(i, f"the quick brown fox jumps over it w{i}") for i in range(300)] + [(900, "the quick brown fox jumps over it")]
+    rows += [(1000 + i, " ".join(f"u{i}x{rng.randrange(40)}" for j in range(60))) for i in range(20)] + [(2000, "a quick brown fox jumps over it w1")]
+    chosen = []
+    choose = jaccard.choose_boundary
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda by_size, largest: chosen.append(choose(by_size, largest)) or chosen[-1])
+    got = found(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got == expected(rows) and got[(299, 4, 0)] == 1
+    assert chosen[0] > 4  # sets of four shingles are in no list: their links come from subsets alone
 
 
 @pytest.mark.parametrize("boundary", [0, 4, 8])
 def test_any_boundary_gives_the_same_result(spark, monkeypatch, boundary):
-    monkeypatch.setattr(jaccard, "choose_boundary", lambda small, mean: boundary)
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda by_size, largest: boundary)
     words = "a b c d e f g h i j k l m n".split()
     rows = [(i, " ".join(words[a:b])) for i, (a, b) in enumerate((a, b) for a in range(4) for b in range(a + 4, 15))]
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == expected(rows)
