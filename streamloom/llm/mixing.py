@@ -7,6 +7,9 @@ that mean at a uniform number hashed from (seed, doc_id): no draw depends on
 the task, the order or the cluster. The document is exploded by its count and
 the copies are shuffled globally by a hash of (seed, doc_id, copy).
 
+No document is repeated more than MAX_RATE times on average: what a source too
+small for its share leaves goes to the other sources by their weights.
+
 Large means are split: Poisson(m) is the sum of independent Poisson(m / parts)
 with m / parts <= PART_MEAN, one hash each, so no distribution table is long.
 The table of rates (a row a source, about 600 bytes) is aggregated map-side and
@@ -22,9 +25,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 PART_MEAN = 8.0
+#: the largest mean number of copies of a document
+MAX_RATE = 100_000.0
 TABLE_LENGTH = 64  # P(Poisson(8) > 64) < 1e-30: beyond the 52 bits of the uniform number
 SALTS = 32
 BROADCAST_SOURCES = 10_000
@@ -39,33 +44,46 @@ def _hash(*parts: str) -> str:
     return f"(cast(conv(substring(md5(concat_ws('|', {', '.join(parts)})), 1, 13), 16, 10) as double) / 4503599627370496D)"
 
 
-def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float, total: float | None = None, *, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, int]:
-    """(source, rate): the mean number of copies of each of its documents; and the number of sources."""
-    sizes = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.greatest(F.lit(1), F.length(F.coalesce(F.col(text_col), F.lit(""))))).alias("size"))
+def source_rates(docs: DataFrame, weights: Mapping[str, float], other: float, total: float | None = None, *, max_rate: float = MAX_RATE, source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, int]:
+    """(source, rate): the mean number of copies of each of its documents; and the number of sources.
+
+    The sizes of sources are aggregated once and written. While a rate passes
+    ``max_rate`` it is held there and the rest of the budget is shared anew; a
+    round is one aggregate of that table, and each holds at least one more source.
+    """
     weight = F.lit(float(other))
     for name, w in weights.items():
         weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    sizes = sizes.withColumn("weight", weight)
-    sums = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"), F.count("*").alias("n")).first()
-    if not sums["all_weight"]:
+    size = F.sum(F.greatest(F.lit(1), F.length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+    sizes = materialise(docs.groupBy(F.col(source_col).alias("source")).agg(size.alias("size")).withColumn("weight", weight))
+    sums = sizes.agg(F.sum("weight").alias("weight"), F.sum("size").alias("size"), F.count("*").alias("n")).first()
+    if not sums["weight"]:
         return sizes.select("source", F.lit(0.0).alias("rate")), sums["n"]
-    budget = float(total if total is not None else sums["all_size"])
-    return sizes.select("source", (F.col("weight") / F.lit(float(sums["all_weight"])) * F.lit(budget) / F.col("size")).alias("rate")), sums["n"]
-
-
-def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, other: float = OTHER_WEIGHT, total: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    budget = float(total if total is not None else sums["size"])
+    shared, left = float(sums["weight"]), budget  # of the sources that are not held at max_rate: weight and budget
+    rate = F.col("weight") / F.lit(shared) * F.lit(left) / F.col("size")
+    while True:
+        held = sizes.filter(rate > max_rate).agg(F.sum("weight").alias("weight"), F.sum("size").alias("size"), F.count("*").alias("n")).first()
+        weight_left, budget_left = float(sums["weight"]) - float(held["weight"] or 0.0), budget - max_rate * float(held["size"] or 0)
+        if not held["n"] or held["n"] == sums["n"] or weight_left <= 0 or (weight_left, budget_left) == (shared, left):
+            return sizes.select("source", F.least(F.lit(float(max_rate)), rate).alias("rate")), sums["n"]
+        shared, left = weight_left, budget_left
+        rate = F.col("weight") / F.lit(shared) * F.lit(left) / F.col("size")
+
+
+def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, *, other: float = OTHER_WEIGHT, total: float | None = None, max_rate: float = MAX_RATE, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` plus mix_part, mix_copy, mix_order: one row per copy.
 
     ``total`` is the size of the mixture in code points (default: that of
     ``docs``). A null source is a source of its own, a null or empty text has
-    size 1, a null doc_id hashes as the empty string, and repeated rows get
+    size 1, no mean number of copies passes ``max_rate``, a null doc_id hashes as the empty string, and repeated rows get
     equal counts. Weight 0 removes a source. An empty table gives no rows.
     Rows are shuffled: partitions by hash, sorted by mix_order inside.
     Columns of ``docs`` named like the three new ones are replaced.
     """
     docs = docs.drop("mix_part", "mix_copy", "mix_order")
     cols = docs.columns
-    rates, n_sources = source_rates(docs, WEIGHTS if weights is None else weights, other, total, source_col=source_col, text_col=text_col)
+    rates, n_sources = source_rates(docs, WEIGHTS if weights is None else weights, other, total, max_rate=max_rate, source_col=source_col, text_col=text_col)
     cdf = f"transform(sequence(0, {TABLE_LENGTH}), k -> k)"
     rates = (
         rates.withColumn("parts", F.expr(f"cast(greatest(1, ceil(rate / {PART_MEAN}D)) as int)"))
