@@ -8,9 +8,10 @@ kept if that mean reaches THRESHOLD: no random draw, every document decided.
 Simple base rules (too short, too repetitive) come first.
 
 The weights are BUCKETS numbers whatever the corpus size, so they ride in the
-plan as one constant. The raw multinomial covers all rows; the trusted one is
-fitted on at most TRUSTED_DOCS labelled documents (a documented bound: their
-ids are broadcast, 8 bytes each).
+plan as one constant. The raw multinomial covers all rows and the trusted one
+all documents labelled good. Their ids are broadcast if they are BROADCAST_IDS
+at most (about 16 bytes each); more are joined by a shuffle of the labelled
+documents' hashes.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 BUCKETS = 1 << 14
-TRUSTED_DOCS = 20_000
+BROADCAST_IDS = 500_000
 THRESHOLD = -0.12
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -84,8 +85,13 @@ def _bigram(i: str, j: str) -> str:
 
 
 def bucket_counts(worded: DataFrame, trusted: DataFrame) -> DataFrame:
-    """bucket, n_raw, n_target over all documents; ``trusted`` (doc_id) is of bounded size."""
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("__t")).distinct())
+    """bucket, n_raw, n_target over all documents; those whose doc_id is in ``trusted`` (doc_id) are the target.
+
+    Counts are combined in each task before the shuffle.
+    """
+    ids = materialise(trusted.select(F.col("doc_id").alias("__t")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     grams = F.expr(
         f"concat(transform(hashes, h -> pmod(h, {BUCKETS}L)),"
         f" if(size(hashes) < 2, cast(array() as array<bigint>), transform(sequence(0, size(hashes) - 2), i -> {_bigram('hashes[i]', 'hashes[i + 1]')})))"
@@ -112,10 +118,9 @@ def mean_log_ratio(weights: list[float]) -> Column:
     return F.expr(f"if(size(hashes) = 0, 0D, {total} / (2 * size(hashes) - 1))")
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED_DOCS) -> DataFrame:
-    """Ids of documents labelled good, at most ``limit`` of them in hash order."""
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the documents labelled good."""
+    return labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -134,7 +139,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_i
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns; a score equal to the threshold is kept."""
     weights = log_ratios(bucket_counts(with_words(docs, id_col, text_col).select("doc_id", "hashes"), trusted))
     scored = base_features(with_words(docs, id_col, text_col, carry="__row"))
     verdict = ~F.col("base_failed") & (mean_log_ratio(weights) >= threshold)
