@@ -7,9 +7,12 @@ gradient through the noisy-or tells which sentences earn the label, so the
 trained model also locates them.
 
 Trained on at most TRAIN_TOXIC toxic and TRAIN_OTHER other labelled documents
-(documented bounds; hashed words, not texts, come to the driver), weighted back
-to the shares that all labelled documents have. Scoring is one pass without a shuffle:
-words are hashed by numpy and looked up in a bounded table of weights.
+(documented bounds), weighted back to the shares that all labelled documents
+have. Their features are counted by a Spark aggregate; only features with enough
+evidence, and of each document the sentences that hold one, come to the driver,
+so its memory does not grow with the length of texts. Sentences without such a
+feature are alike: a document keeps their number. Scoring is one pass without a
+shuffle: words are hashed by numpy and looked up in a table of weights.
 """
 
 from __future__ import annotations
@@ -20,14 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .wordhash import WordHasher, batches_of, joined, letter_table
 
 TRAIN_TOXIC = 2500
 TRAIN_OTHER = 5500
 #: a word needs this much evidence (likelihood ratio statistic of document labels with and without it) to get a weight
 MIN_EVIDENCE = 15.0
-COUNT_BITS = 22
 ROUNDS = 300
 LEARNING_RATE = 0.3
 L1 = 1e-5
@@ -94,93 +96,100 @@ class Model:
         return np.clip(1.0 - (1.0 - self.leak) * np.exp(log_not), 0.0, 1.0)
 
 
-def evidence(toxic, df, positives: float, n: int):
-    """Likelihood ratio statistic of each word: label 1 in ``toxic`` of its ``df`` documents, in ``positives`` of all ``n``."""
-
-    def log_likelihood(k, m):
-        m = np.maximum(m, 1e-12)
-        q = np.clip(k / m, 1e-12, 1 - 1e-12)
-        return k * np.log(q) + (m - k) * np.log(1 - q)
-
-    rest = log_likelihood(positives - toxic, n - df)
-    return 2 * (log_likelihood(toxic, df) + rest - log_likelihood(positives, n))
-
-
 def fit(bags: list[tuple], *, rounds: int = ROUNDS, l1: float = L1) -> Model:
-    """bags: (label, weight, feature hashes, sentence of each from 0) of each training document."""
+    """bags: (label, weight, features, sentence of each from 0, number of sentences without a feature) of each training document."""
     empty = Model(np.zeros(0, np.uint32), np.zeros(0), -50.0, 0.0)
     if not bags:
         return empty
     y = np.array([b[0] for b in bags], dtype=float)
     weight = np.array([b[1] for b in bags], dtype=float)
     weight /= weight.sum()
-    prior = float(y @ weight)
     if y.min() == y.max():
-        empty.leak = float(prior)
+        empty.leak = float(y @ weight)
         return empty
-    sizes = [int(b[3].max()) + 1 if len(b[3]) else 1 for b in bags]
+    bare = np.array([b[4] for b in bags], dtype=float)
+    sizes = [int(b[3].max()) + 1 if len(b[3]) else 0 for b in bags]
     first = np.concatenate(([0], np.cumsum(sizes)))
     n_sentences = int(first[-1])
     doc_of = np.repeat(np.arange(len(bags)), sizes)
-    # first by a table of hash buckets which features may have enough evidence: the rest is never held together
-    toxic, df = np.zeros(1 << COUNT_BITS, np.float32), np.zeros(1 << COUNT_BITS, np.float32)
-    shift = np.uint32(32 - COUNT_BITS)
-    for (label, *_), seen in zip(bags, (np.unique(b[2] >> shift) for b in bags)):
-        df[seen] += 1
-        toxic[seen] += label
-    candidate, used = np.zeros(1 << COUNT_BITS, dtype=bool), np.flatnonzero(df)
-    candidate[used] = evidence(toxic[used].astype(float), df[used].astype(float), y.sum(), len(bags)) >= MIN_EVIDENCE
-    del toxic, df
-    kept = [candidate[b[2] >> shift] for b in bags]
-    hashes = np.concatenate([b[2][k] for b, k in zip(bags, kept)])
-    sentence = np.concatenate([b[3][k] + a for b, k, a in zip(bags, kept, first)])
-    words, inverse = np.unique(hashes, return_inverse=True)
-    pair = np.unique(inverse.astype(np.int64) * len(bags) + doc_of[sentence])
-    df = np.bincount(pair // len(bags), minlength=len(words))
-    toxic = np.bincount(pair // len(bags), y[pair % len(bags)], minlength=len(words))
-    good = evidence(toxic, df, y.sum(), len(bags)) >= MIN_EVIDENCE
-    new = np.cumsum(good) - 1
-    keep = good[inverse]
-    words = words[good]
-    pair = np.unique(sentence[keep] * max(1, len(words)) + new[inverse[keep]])
+    words, column = np.unique(np.concatenate([b[2] for b in bags]), return_inverse=True)
+    sentence = np.concatenate([b[3] + a for b, a in zip(bags, first)]).astype(np.int64)
+    pair = np.unique(sentence * max(1, len(words)) + column)
     sentence, column = pair // max(1, len(words)), pair % max(1, len(words))
     w, g2 = np.zeros(len(words)), np.full(len(words), 1e-8)
     bias, leak_logit = -6.0, float(np.log(0.02 / 0.98))
     b2 = k2 = 1e-8
+    sigmoid = lambda x: 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
     for _ in range(rounds):
         z = bias + np.bincount(sentence, w[column], minlength=n_sentences)
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
-        leak = 1.0 / (1.0 + np.exp(-leak_logit))
-        none = (1.0 - leak) * np.exp(np.bincount(doc_of, -np.logaddexp(0.0, z), minlength=len(bags)))
+        leak = sigmoid(leak_logit)
+        none = (1.0 - leak) * np.exp(np.bincount(doc_of, -np.logaddexp(0.0, z), minlength=len(bags)) - bare * np.logaddexp(0.0, bias))
         total = np.clip(1.0 - none, 1e-9, 1.0)
         # d loss / d (-log none): 1 for label 0, -(none / total) for label 1
         pull = np.where(y > 0, -none / total, 1.0) * weight
-        gz = pull[doc_of] * p
+        gz = pull[doc_of] * sigmoid(z)
         gw = np.bincount(column, gz[sentence], minlength=len(words))
         g2 += gw * gw
         step = LEARNING_RATE / np.sqrt(g2)
         w -= step * gw
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0.0)
-        gb, gk = gz.sum(), (pull * leak).sum()
+        gb, gk = gz.sum() + (pull * bare).sum() * sigmoid(bias), (pull * leak).sum()
         b2 += gb * gb
         k2 += gk * gk
         bias -= LEARNING_RATE * gb / np.sqrt(b2)
         leak_logit -= LEARNING_RATE * gk / np.sqrt(k2)
     used = w != 0
-    return Model(words[used], w[used], float(bias), float(1.0 / (1.0 + np.exp(-leak_logit))))
+    return Model(words[used], w[used], float(bias), float(sigmoid(leak_logit)))
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], id_col: str, text_col: str) -> list[tuple]:
-    """(label, weight, hashes, sentences) of at most ``limits`` toxic and other labelled documents, in hash order of
-    their ids, none that is held out. A document labelled twice counts as toxic if one label says so."""
+def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id as text, text, toxic) of at most ``limits`` toxic and other labelled documents, in hash order of their ids,
+    none that is held out, written; and how many have each label. A document labelled twice is toxic if one label says so."""
     usable = (
         labels.filter("doc_id is not null and toxic is not null").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     first = [usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in zip((1, 0), limits)]
-    weights = {t: counts.get(t, 0) / max(1, min(counts.get(t, 0), n)) for t, n in zip((1, 0), limits)}
     chosen = first[0].union(first[1]).withColumnRenamed("doc_id", "__id")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    # one row an id, however often the documents repeat it, keeps what is learned from bounded
+    return materialise(rows.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.min(F.struct("toxic", "text")).alias("m")).select("doc_id", "m.text", "m.toxic")), counts
+
+
+def features_with_evidence(rows: DataFrame, least: float = MIN_EVIDENCE) -> np.ndarray:
+    """The sorted 32-bit features whose documents differ enough in their labels from the others; every feature is counted exactly."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        bags = Bags()
+        for batch in batches:
+            seen = [(np.unique(bags.of([text or ""])[0]), toxic) for text, toxic in zip(batch["text"], batch["toxic"])]
+            features = np.concatenate([f for f, _ in seen])
+            names, index = np.unique(features, return_inverse=True)
+            labels = np.repeat([t for _, t in seen], [len(f) for f, _ in seen])
+            yield pd.DataFrame({"feature": names.astype(np.int64), "df": np.bincount(index, minlength=len(names)), "toxic": np.bincount(index, labels, minlength=len(names)).astype(np.int64)})
+
+    sums = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    n, positives = float(sums["n"]), float(sums["toxic"] or 0)
+    if not 0 < positives < n:
+        return np.zeros(0, np.uint32)
+    counted = rows.select("text", "toxic").mapInPandas(count, "feature bigint, df bigint, toxic bigint").groupBy("feature").agg(F.sum("df").alias("df"), F.sum("toxic").alias("toxic"))
+
+    def log_likelihood(k, m):
+        q = F.least(F.greatest(k / F.greatest(m, F.lit(1e-12)), F.lit(1e-12)), F.lit(1 - 1e-12))
+        return k * F.log(q) + (m - k) * F.log(1 - q)
+
+    rest = log_likelihood(positives - F.col("toxic"), n - F.col("df"))
+    statistic = 2 * (log_likelihood(F.col("toxic"), F.col("df")) + rest - log_likelihood(F.lit(positives), F.lit(n)))
+    return np.sort(np.array([r["feature"] for r in counted.filter(statistic >= least).select("feature").collect()], dtype=np.uint32))
+
+
+def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], id_col: str, text_col: str) -> list[tuple]:
+    """What ``fit`` learns from: (label, weight, features, sentence of each, sentences without one) of each training document."""
+    rows, counts = training_documents(docs, labels, limits, id_col, text_col)
+    weights = {t: counts.get(t, 0) / max(1, min(counts.get(t, 0), n)) for t, n in zip((1, 0), limits)}
+    features = features_with_evidence(rows)
 
     def hashed(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -189,14 +198,14 @@ def training_bags(docs: DataFrame, labels: DataFrame, limits: tuple[int, int], i
         for batch in batches:
             out = []
             for doc_id, text, toxic in zip(batch["doc_id"], batch["text"], batch["toxic"]):
-                h, s, _, _ = bags.of([text or ""])
-                out.append((str(doc_id), int(toxic), h.astype("<u4").tobytes(), s.astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "toxic", "words", "sentences"])
-
-    made = rows.select("doc_id", "text", "toxic").mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary")
-    # one row an id, however often the documents repeat it, keeps what is collected bounded
-    found = made.groupBy("doc_id").agg(F.min(F.struct("toxic", "words", "sentences")).alias("m")).select("doc_id", "m.*").collect()
-    return [(t, weights[t], np.frombuffer(w, "<u4"), np.frombuffer(s, "<i4")) for _, t, w, s in sorted(map(tuple, found))]
+                h, s, doc_of, _ = bags.of([text or ""])
+                good = np.isin(h, features)
+                held, index = np.unique(s[good], return_inverse=True)
+                out.append((doc_id, int(toxic), h[good].astype("<u4").tobytes(), index.astype("<i4").tobytes(), max(1, len(doc_of)) - len(held)))
+            yield pd.DataFrame(out, columns=["doc_id", "toxic", "words", "sentences", "bare"])
+
+    made = rows.mapInPandas(hashed, "doc_id string, toxic int, words binary, sentences binary, bare bigint")
+    return [(t, weights[t], np.frombuffer(w, "<u4"), np.frombuffer(s, "<i4"), n) for _, t, w, s, n in sorted(map(tuple, made.collect()))]
 
 
 def score_texts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
