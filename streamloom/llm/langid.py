@@ -4,8 +4,10 @@ Features are TF-IDF of hashed character 1- to 3-grams of the lower-cased text
 (anything but letters counts as one blank). Document frequencies cover every
 learnable document. The weights are trained by follow-the-regularised-leader
 (FTRL-proximal) with an elastic-net penalty on at most TRAIN_DOCS documents (a
-documented bound; their sparse vectors, not their texts, come to the driver),
-and a temperature fitted on a fifth of them calibrates the probabilities.
+documented bound; their sparse vectors, not their texts, come to the driver).
+They are shared out evenly over the languages, so a rare one is learned too,
+and the biases are set back to the shares of all learnable documents. A
+temperature fitted on a fifth of them calibrates the probabilities.
 
 Scoring is one pass without a shuffle: a batch's grams are hashed by numpy and
 looked up in one small table (BUCKETS rows, a column a language).
@@ -15,10 +17,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 4000
@@ -124,11 +126,33 @@ def document_frequencies(rows: DataFrame):
     return df, total
 
 
+def quotas(counts: dict[str, int], limit: int) -> dict[str, int]:
+    """How many documents of each language are learned from: equal shares of ``limit``, and what small languages leave goes to the others."""
+    out, left = {}, limit
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, left // (len(counts) - k))
+        left -= out[lang]
+    return out
+
+
 def training_vectors(rows: DataFrame, limit: int):
-    """[(language, buckets, counts)] of at most ``limit`` documents, chosen by hash of their id."""
+    """([(language, buckets, counts)] of at most ``limit`` documents, {language: learnable documents}).
+
+    Of each language the first ids in hash order are taken. Rows beyond about
+    twice a language's quota are dropped by their hash before they are ranked,
+    so no task ranks more than a few thousand.
+    """
     import numpy as np
 
-    chosen = rows.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = rows.select("doc_id", "lang").filter("doc_id is not null").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    ids = materialise(ids.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) / F.lit(float(1 << 53))))
+    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    quota = quotas(counts, limit)
+    if not quota:
+        return [], counts
+    wanted = F.broadcast(rows.sparkSession.createDataFrame([(x, q, min(1.0, (2 * q + 50) / counts[x])) for x, q in quota.items()], "lang string, quota int, most double"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = ids.join(wanted, "lang").filter("h <= most").withColumn("k", F.row_number().over(order)).filter("k <= quota").select("doc_id")
 
     def vectors(batches: Iterator) -> Iterator:
         import numpy as np
@@ -150,7 +174,7 @@ def training_vectors(rows: DataFrame, limit: int):
     made = picked.mapInPandas(vectors, "doc_id string, lang string, buckets binary, counts binary")
     # one row an id, however often the documents repeat it, keeps what is collected bounded
     found = sorted(map(tuple, made.groupBy("doc_id").agg(F.min(F.struct("lang", "buckets", "counts")).alias("m")).select("doc_id", "m.*").collect()))
-    return [(lang, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, lang, b, c in found]
+    return [(lang, np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for _, lang, b, c in found], counts
 
 
 def softmax(z):
@@ -160,8 +184,8 @@ def softmax(z):
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(vectors, idf, *, epochs: int = EPOCHS, seed: int = 5):
-    """(languages, weights BUCKETS x languages, biases, temperature)."""
+def train(vectors, idf, counts=None, *, epochs: int = EPOCHS, seed: int = 5):
+    """(languages, weights BUCKETS x languages, biases, temperature); ``counts`` has how many documents each language really has."""
     import numpy as np
 
     langs = sorted({v[0] for v in vectors})
@@ -191,13 +215,18 @@ def train(vectors, idf, *, epochs: int = EPOCHS, seed: int = 5):
             n[rows] = more
     w = weights(np.arange(BUCKETS + 1))
     temperature = 1.0
+    sample = np.bincount([y for *_, y in data], minlength=k) / max(1, len(data))
+    share = np.array([float((counts or {}).get(x, 0)) for x in langs])
+    share = share / share.sum() if share.all() and k else sample
+    bias = w[BUCKETS] + np.log(share / sample) if k else w[BUCKETS]
     if calibration and k > 1:
-        logits = np.array([x @ w[b] + w[BUCKETS] for b, x, _ in calibration])
+        logits = np.array([x @ w[b] + bias for b, x, _ in calibration])
         ys = np.array([y for *_, y in calibration])
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 200))
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(ys)), ys], 1e-12)).mean() for t in grid]
+        as_in_all = (share / sample)[ys]
+        loss = [np.average(-np.log(np.maximum(softmax(logits / t)[np.arange(len(ys)), ys], 1e-12)), weights=as_in_all) for t in grid]
         temperature = float(grid[int(np.argmin(loss))])
-    return langs, w[:BUCKETS], w[BUCKETS], temperature
+    return langs, w[:BUCKETS], bias, temperature
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -206,7 +235,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     lang_pred is a language seen in training, 'und' (score 0) if the text is
     null or has no letter, or if there was nothing to learn from. Rows whose
     crc32(doc_id as text) mod 5 is 0 (a null doc_id counts as '') are never
-    learned from. Repeated rows and ties get equal predictions (of equal
+    learned from. ids may be of any type that a string can be cast back to. Repeated rows and ties get equal predictions (of equal
     scores the language first in order wins).
     """
     import numpy as np
@@ -215,10 +244,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     usable = rows.filter("not held_out and lang is not null and text is not null")
     df, total = document_frequencies(usable)
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    vectors = training_vectors(usable, train_docs)
+    vectors, counts = training_vectors(usable, train_docs)
     id_type = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     if vectors:
-        langs, w, bias, temperature = train(vectors, idf)
+        langs, w, bias, temperature = train(vectors, idf, counts)
         scores = np.ascontiguousarray((w * idf[:, None] * SCALE).T.astype(np.float32))
     else:
         langs, scores, bias, temperature = [], np.zeros((0, BUCKETS), np.float32), np.zeros(0), 1.0
@@ -246,8 +275,6 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield batch[["doc_id", "held_out", "lang_pred", "score"]]
 
     plain = rows.select("doc_id", "held_out", "text")
-    if id_type not in ("bigint", "int", "string"):
-        raise TypeError(f"{id_col} must be an integer or a string, not {id_type}")
     as_text = plain.withColumn("doc_id", F.col("doc_id").cast("string"))  # nulls stay nulls in pandas
     out = as_text.mapInPandas(predict, "doc_id string, held_out boolean, lang_pred string, score double")
     return out.withColumn("doc_id", F.col("doc_id").cast(id_type))
