@@ -4,8 +4,9 @@ A message's lines have a quote level: the number of leading '>' marks. Runs of
 lines of one level are quoted passages; each is normalised (lower case, white
 space collapsed) and hashed whole, by paragraph and by line. The same units of
 the unquoted parts of all messages are hashed, and a quoted unit joins the
-latest earlier message of its conversation that holds it: one sorted pass over
-(conversation, hash), never all pairs. A message replies to the one that most
+latest earlier message of its conversation that holds it: a sorted pass over
+(conversation, hash, span of turns) and one over the spans, never all pairs and
+never all messages of a passage in one task. A message replies to the one that most
 characters of its shallowest linked quotes come from (deeper ones were quoted
 by that message; of ties the later one), else to the message before it. Quotes and their attribution lines are cut out, and
 messages are ordered so that each comes after the one it answers: by depth in
@@ -27,9 +28,9 @@ from .common import materialise, table
 #: turns (or depths) to a span in the two-step ranks
 SPAN = 4096
 MARKS = r"^(?:[ \t]*+>)++[ \t]?"
-ATTRIBUTION = (
-    r"(?i)^\s*(?:on\b.{0,300}\bwrote\s*:|am\b.{0,300}\bschrieb\b.{0,200}:|le\b.{0,300}\ba écrit\s*:|el\b.{0,300}\bescribió\s*:|-{2,}\s*original message\s*-{2,})\s*$"
-)
+ATTRIBUTION = r"(?i)^\s*(?:on\b.*\bwrote\s*:|am\b.*\bschrieb\b.*:|le\b.*\ba écrit\s*:|el\b.*\bescribió\s*:|-{2,}\s*original message\s*-{2,})\s*$"
+#: how an attribution line ends: tested first, so that a line of any length costs linear time
+ATTRIBUTION_END = r"[:-]\s*$"
 
 
 def _normal(text):
@@ -55,7 +56,7 @@ def parse_messages(messages: DataFrame, conv_col: str, turn_col: str, role_col:
     quoted = F.transform(
         "lines",
         lambda x, i: F.struct(
-            F.when((x["level"] == 0) & x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get("lines", i + 1)["level"], F.lit(0)) > 0), F.lit(-1)).otherwise(x["level"]).alias("level"), x["line"].alias("line")
+            F.when((x["level"] == 0) & x["line"].rlike(ATTRIBUTION_END) & x["line"].rlike(ATTRIBUTION) & (F.coalesce(F.get("lines", i + 1)["level"], F.lit(0)) > 0), F.lit(-1)).otherwise(x["level"]).alias("level"), x["line"].alias("line")
         ),
     )
     start = F.expr("struct(cast(array() as array<struct<level: int, line: string>>) as runs, struct(-2 as level, '' as line) as run)")
@@ -91,12 +92,19 @@ def reply_links(parsed: DataFrame) -> DataFrame:
     """parsed: uid, conv_id, rank, body, quotes -> conv_id, rank, parent: explicit replies."""
     quoted = parsed.select("conv_id", "rank", F.explode("quotes").alias("q")).select("conv_id", "rank", "q.level", "q.passage")
     quoted = _units(quoted, ["conv_id", "rank", "level"]).groupBy("conv_id", "hash", "rank").agg(F.max("size").alias("size"), F.min("level").alias("level"))
-    wanted = quoted.select("conv_id", "hash").distinct()
+    quoted = materialise(quoted)
+    wanted = materialise(quoted.select("conv_id", "hash").distinct())
     originals = _units(parsed.select("conv_id", "rank", F.col("body").alias("passage")), ["conv_id", "rank"]).select("conv_id", "hash", "rank").distinct()
     originals = originals.join(wanted, originals["conv_id"].eqNullSafe(wanted["conv_id"]) & (originals["hash"] == wanted["hash"]), "left_semi")
     both = originals.select("conv_id", "hash", "rank", F.col("rank").alias("original"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("level")).union(quoted.select("conv_id", "hash", "rank", F.lit(None).cast("bigint").alias("original"), "size", "level"))
-    earlier = Window.partitionBy("conv_id", "hash").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("parent", F.max("original").over(earlier)).filter("size is not null and parent is not null")
+    both = materialise(both.withColumn("span", F.floor(F.col("rank") / SPAN)))
+    inside = Window.partitionBy("conv_id", "hash", "span").orderBy("rank").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id", "hash").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = both.groupBy("conv_id", "hash", "span").agg(F.max("original").alias("top")).withColumn("before", F.max("top").over(before))
+    tops = tops.select(F.col("conv_id").alias("c"), F.col("hash").alias("h"), F.col("span").alias("s"), "before")
+    found = both.withColumn("inside", F.max("original").over(inside)).filter("size is not null")
+    found = found.join(tops, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("span") == F.col("s")))
+    found = found.withColumn("parent", F.coalesce("inside", "before")).filter("parent is not null")
     weights = found.groupBy("conv_id", "rank", "level", "parent").agg(F.sum("size").alias("weight"))
     return weights.groupBy("conv_id", "rank").agg(F.max(F.struct(-F.col("level"), "weight", "parent")).alias("best")).select("conv_id", "rank", F.col("best.parent").alias("parent"))
 
@@ -136,7 +144,9 @@ def link_quotes(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str
     """
     parsed = materialise(parse_messages(messages, conv_col, turn_col, role_col, text_col))
     rows = materialise(ranked(parsed, ["conv_id"], ["turn", "uid"], "turn", "rank"))
-    links = materialise(reply_links(rows.filter(F.size("quotes") > 0).select("conv_id").distinct().join(rows.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")))
+    # written, so that the join reads a plain table and a conversation with very many messages is split
+    quoting = materialise(rows.filter(F.size("quotes") > 0).select("conv_id").distinct())
+    links = materialise(reply_links(quoting.join(rows.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")))
     if links.isEmpty():
         out = rows.withColumn("parent", F.when(F.col("rank") > 0, F.col("rank") - 1)).withColumn("depth", F.col("rank")).withColumn("position", F.col("rank"))
     else:
