@@ -8,13 +8,15 @@ seeds); between epochs the islands of a block pass their elite round a ring by
 one small shuffle. A chromosome is a list of bins (the groups): crossover
 injects the other parent's best-filled bins whole, dissolves the bins that
 hold duplicates of what came in, and best-fits the displaced pieces; mutation
-dissolves some badly filled bins. A block whose packing meets the lower bound
-is proven optimal and rests.
+dissolves some badly filled bins. Islands start from packings in shaken orders
+and evolve for GENERATIONS an epoch, or until a packing meets the lower bound:
+that is proven optimal. In the last epoch plain best-fit decreasing joins the
+crowd of an island that is not there yet, so no block is packed worse than so.
 
 Blocks keep every task bounded. What blocking wastes is won back by levels:
 bins with more than ``slack`` free tokens of all blocks are pooled, dealt anew
 (whole bins, so the old packing is among the parents and no level can make it
-worse) and evolved again, until one block holds them or ``levels`` ran.
+worse) and evolved again, until one block holds them or the pool hardly shrinks.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ END_ID = 0
 BLOCK_ITEMS = 16_384
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
-POPULATION = 4
-LEVELS = 3
+GENERATIONS = 60
+POPULATION = 6
+#: another level must pool at most this share of the pieces before it
+SHRINK = 0.9
 SLACK = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: the same vocabulary as ranks: a faster reader of it that gives the same ids
@@ -220,39 +223,43 @@ def to_assignment(bins, n: int) -> list[int]:
     return out
 
 
-def evolve(lengths: list[int], capacity: int, parents: list[list[int]], seed: int, generations: int, population: int) -> list[int]:
-    """The best packing an island finds, as the bin of each piece; deterministic in its arguments."""
+def evolve(lengths: list[int], capacity: int, parents: list[list[int]], seed: int, generations: int, population: int, best_fit_joins: bool = True) -> tuple[list[int], int]:
+    """The best packing an island finds, as the bin of each piece, and the generations it took; deterministic in its arguments."""
     n = len(lengths)
     if not n:
-        return []
+        return [], 0
     rng = random.Random(seed)
     bound = lower_bound(lengths, capacity)
     crowd = [from_assignment(p, lengths, capacity) for p in parents]
-    score = lambda s: fitness(s[1], capacity)
-    noise = 0.0
-    while len(crowd) < max(population, len(parents)) and not any(len(s[0]) <= bound for s in crowd):
+
+    def packed(noise: float):
         order = sorted(range(n), key=(lambda i: lengths[i] * rng.uniform(1 - noise, 1 + noise)) if noise else lengths.__getitem__, reverse=True)
         bins: list[list[int]] = []
         free: list[int] = []
         best_fit(order, lengths, bins, free, capacity)
-        crowd.append((bins, free))
-        noise = rng.uniform(0.01, 0.1)
-    for _ in range(generations):
+        return bins, free
+
+    score = lambda s: fitness(s[1], capacity)
+    met = lambda: any(len(s[0]) <= bound for s in crowd)
+    while len(crowd) < population and not met():
+        crowd.append(packed(rng.uniform(0.05, 0.5)))
+    if best_fit_joins and not met():
+        crowd.append(packed(0.0))
+    ran = 0
+    while ran < generations and not met():
         crowd.sort(key=score, reverse=True)
-        if len(crowd[0][0]) <= bound:
-            break
-        half = crowd[: max(2, len(crowd) // 2)]
-        a, b = rng.sample(half, 2) if len(half) > 1 else (half[0], half[0])
+        a, b = rng.sample(crowd[: max(2, len(crowd) // 2)], 2) if len(crowd) > 1 else (crowd[0], crowd[0])
         children = [crossover(a, b, lengths, capacity, rng), mutate(crowd[0], lengths, capacity, rng)]
         crowd = sorted(crowd + children, key=score, reverse=True)[:population]
-    return to_assignment(max(crowd, key=score)[0], n)
+        ran += 1
+    return to_assignment(max(crowd, key=score)[0], n), ran
 
 
 # --- blocks and islands on Spark ----------------------------------------------------------------
 
 
-def _evolved(rows: DataFrame, capacity: int, epoch: int, generations: int, population: int) -> DataFrame:
-    """rows: block, island, lengths, parents (assignments) -> the same with parents = [elite], and its bins."""
+def _evolved(rows: DataFrame, capacity: int, epoch: int, generations: int, population: int, last: bool) -> DataFrame:
+    """rows: block, island, lengths, parents (assignments) -> the same with parents = [elite], its bins, and the generations that ran."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -262,11 +269,11 @@ def _evolved(rows: DataFrame, capacity: int, epoch: int, generations: int, popul
             for block, island, lengths, parents in zip(batch["block"], batch["island"], batch["lengths"], batch["parents"]):
                 lengths = [int(x) for x in lengths]
                 parents = [[int(x) for x in p] for p in parents]
-                best = evolve(lengths, capacity, parents, hash((int(block), int(island), epoch)), generations, population)
-                out.append((block, island, lengths, [best], max(best, default=-1) + 1))
-            yield pd.DataFrame(out, columns=["block", "island", "lengths", "parents", "bins"])
+                best, ran = evolve(lengths, capacity, parents, hash((int(block), int(island), epoch)), generations, population, last)
+                out.append((block, island, lengths, [best], max(best, default=-1) + 1, ran))
+            yield pd.DataFrame(out, columns=["block", "island", "lengths", "parents", "bins", "generations"])
 
-    return rows.mapInPandas(run, "block bigint, island int, lengths array<int>, parents array<array<bigint>>, bins int")
+    return rows.mapInPandas(run, "block bigint, island int, lengths array<int>, parents array<array<bigint>>, bins int, generations int")
 
 
 def _packed_blocks(items: DataFrame, n_blocks: int, *, capacity: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
@@ -279,7 +286,7 @@ def _packed_blocks(items: DataFrame, n_blocks: int, *, capacity: int, islands: i
     state = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", parents.alias("parents"))
     tasks = max(1, min(2048, n_blocks * islands))
     for epoch in range(epochs):
-        state = _evolved(state.repartition(tasks, "block", "island"), capacity, epoch, generations, population)
+        state = _evolved(state.repartition(tasks, "block", "island"), capacity, epoch, generations, population, epoch + 1 == epochs)
         if epoch + 1 < epochs:
             ring = state.groupBy("block").agg(F.first("lengths").alias("lengths"), F.array_sort(F.collect_list(F.struct("island", F.col("parents")[0].alias("elite")))).alias("elites"))
             state = ring.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", "elites").select(
@@ -302,7 +309,7 @@ def _packed_blocks(items: DataFrame, n_blocks: int, *, capacity: int, islands: i
     return blocks.join(best.select("block", "best.elite"), "block").select("block", "uids", "lengths", "elite").mapInPandas(place, "uid bigint, length bigint, block bigint, bin bigint, offset bigint, free bigint")
 
 
-def pack(docs: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, levels: int = LEVELS, slack: int = SLACK, **tokeniser) -> DataFrame:
+def pack(docs: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, slack: int = SLACK, **tokeniser) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is a document of its own, also if it repeats another;
@@ -313,22 +320,20 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, block_items: int = BLOCK_
     full = pieces.filter(F.col("length") == capacity).selectExpr("uid", "-1 - uid as sequence_id", "0L as offset")
     items = pieces.filter(F.col("length") < capacity).select("uid", "length", F.lit(None).cast("bigint").alias("bin"), F.col("uid").alias("deal"))
     placed = [full]
-    n = items.count()
-    for level in range(levels):
-        if not n:
-            break
+    n, before, level = items.count(), None, 0
+    while n:
         n_blocks = -(-n // block_items)
         dealt = items.withColumn("block", F.pmod(F.xxhash64("deal", F.lit(level)), F.lit(n_blocks))).select("uid", "length", "block", "bin")
         packed = materialise(_packed_blocks(dealt, n_blocks, capacity=capacity, islands=islands, epochs=epochs, generations=generations, population=population))
         # 24 bits for the bin in its block are enough: a block has about block_items pieces
         sequence = F.expr(f"shiftleft({level + 1}L, 56) + shiftleft(block, 24) + bin")
-        last = level + 1 == levels or n_blocks == 1
+        last = n_blocks == 1 or (before is not None and n > SHRINK * before)
         packed = packed.withColumn("sequence_id", sequence)
         placed.append((packed if last else packed.filter(F.col("free") <= slack)).select("uid", "sequence_id", "offset"))
         if last:
             break
         items = packed.filter(F.col("free") > slack).select("uid", "length", F.col("sequence_id").alias("bin"), F.col("sequence_id").alias("deal"))
-        n = items.count()
+        n, before, level = items.count(), n, level + 1
     where = placed[0]
     for part in placed[1:]:
         where = where.union(part)

@@ -1,5 +1,6 @@
 """Packing: round trip of the tokens, tightness, and the genetic algorithm on small cases."""
 
+import os
 import random
 import zlib
 from collections import defaultdict
@@ -49,7 +50,7 @@ def test_packing_round_trip(spark, tokenizer):
     texts = {i: " ".join(rng.choice(["Haus", "the", "naïve", "42", "x" * 9, "\n\n", "don't", "𝒳", "###"]) for _ in range(rng.randint(0, 90))) for i in range(150)}
     texts |= {200: None, 201: "", 202: "<|endoftext|> a <|endoftext|>", 203: "a" * 30_000, 204: " " * 25_000 + "b", 205: "word " * 500}
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
-    for options in ({"capacity": 64}, {"capacity": 64, "block_items": 16, "levels": 3}):
+    for options in ({"capacity": 64}, {"capacity": 64, "block_items": 16}):
         found = packing.pack(df, **options).collect()
         n = check(found, texts, tokenizer, 64)
         short = [r["length"] for r in found if r["length"] < 64]
@@ -75,6 +76,17 @@ def test_fast_and_reference_tokenizers_agree(tokenizer):
         assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="no test tables")
+def test_both_tokenizers_give_the_same_ids_of_all_documents(tokenizer):
+    import pyarrow.parquet
+
+    texts = [t or "" for t in pyarrow.parquet.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    encoder = packing.Encoder()
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        assert [e.ids for e in tokenizer.encode_batch(some, add_special_tokens=False)] == [encoder.encode(t).tolist() for t in some]
+
+
 @pytest.mark.parametrize("n, capacity, want", [(1, 10, [(0, 1)]), (10, 10, [(0, 10)]), (11, 10, [(0, 1), (1, 11)]), (25, 10, [(0, 5), (5, 15), (15, 25)])])
 def test_piece_bounds(n, capacity, want):
     assert packing.piece_bounds(n, capacity) == want
@@ -88,13 +100,51 @@ def feasible(assignment, lengths, capacity):
     return len(load)
 
 
+def optimum(lengths, capacity):
+    """The least number of bins, over all subsets: (bins, fill of the last one) of each."""
+    best = [(0, capacity)] + [None] * ((1 << len(lengths)) - 1)
+    for done in range(1 << len(lengths)):
+        bins, fill = best[done]
+        for i, x in enumerate(lengths):
+            if not done >> i & 1:
+                to = (bins, fill + x) if fill + x <= capacity else (bins + 1, x)
+                best[done | 1 << i] = min(best[done | 1 << i] or to, to)
+    return best[-1][0]
+
+
 def test_evolution_reaches_the_optimum_where_best_fit_does_not():
     # best-fit decreasing needs 3 bins of 10 here, 2 are enough
     lengths = [4, 4, 3, 3, 3, 3]
     bins, free = [], []
     packing.best_fit(sorted(range(6), key=lambda i: -lengths[i]), lengths, bins, free, 10)
     assert len(bins) == 3
-    assert feasible(packing.evolve(lengths, 10, [], 1, 60, 6), lengths, 10) == 2
+    assert feasible(packing.evolve(lengths, 10, [], 1, 60, 6)[0], lengths, 10) == 2 == optimum(lengths, 10)
+
+
+def test_evolution_equals_exhaustive_search_on_few_pieces():
+    rng = random.Random(11)
+    for _ in range(60):
+        capacity = rng.choice([10, 20, 50])
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 10))]
+        best = optimum(lengths, capacity)
+        assert packing.lower_bound(lengths, capacity) <= best
+        assert feasible(packing.evolve(lengths, capacity, [], 3, packing.GENERATIONS, packing.POPULATION)[0], lengths, capacity) == best
+
+
+def test_islands_close_the_gap_that_best_fit_leaves(spark):
+    """Triples that fill a sequence exactly: best-fit decreasing needs more sequences than the volume."""
+    rng = random.Random(8)
+    lengths = []
+    for _ in range(60):
+        a, b = rng.randint(18, 27), rng.randint(18, 27)
+        lengths += [a, b, 64 - a - b]
+    bins, free = [], []
+    packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, bins, free, 64)
+    items = spark.createDataFrame([(i, x, 0, None) for i, x in enumerate(lengths)], "uid bigint, length bigint, block bigint, bin bigint")
+    options = {"capacity": 64, "population": packing.POPULATION, "epochs": 3, "generations": 150}
+    placed = packing._packed_blocks(items, 1, islands=3, **options).collect()
+    n = len({r["bin"] for r in placed})
+    assert packing.lower_bound(lengths, 64) == 60 < len(bins) and 60 <= n < len(bins) and len(placed) == len(lengths)
 
 
 def test_operators_keep_every_piece():
@@ -109,6 +159,6 @@ def test_operators_keep_every_piece():
     for bins, free in (packing.crossover(*crowd, lengths, 64, rng), packing.mutate(crowd[0], lengths, 64, rng)):
         assert sorted(i for b in bins for i in b) == list(range(300))
         assert free == [64 - sum(lengths[i] for i in b) for b in bins] and min(free) >= 0
-    best = packing.evolve(lengths, 64, [packing.to_assignment(crowd[0][0], 300)], 3, 10, 4)
+    best, _ = packing.evolve(lengths, 64, [packing.to_assignment(crowd[0][0], 300)], 3, 10, 4)
     assert packing.lower_bound(lengths, 64) <= feasible(best, lengths, 64) <= len(crowd[0][0])
-    assert best == packing.evolve(lengths, 64, [packing.to_assignment(crowd[0][0], 300)], 3, 10, 4)
+    assert best == packing.evolve(lengths, 64, [packing.to_assignment(crowd[0][0], 300)], 3, 10, 4)[0]
