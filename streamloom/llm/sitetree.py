@@ -6,13 +6,16 @@ sequence of its children) and the content (its text) are hashed, and counted
 over the host's pages by one map-side combined aggregate. A node's importance
 is the larger of the two entropies, divided by that of all pages differing: a
 menu or footer that looks and reads alike on every page has importance near 0,
-the article's nodes near 1. From each page of a host with enough pages branches
-are removed whose importance is below OUTSIDE times that of the host's most
-important node or, inside a marked article or main part, below INSIDE; but only
-where the page's own presentation and content at the node recur as much: for a
-value on c of n pages ln(n / c) / ln(n) is below the same bound. Copies lower a
-node's importance for all pages, but don't remove what few of them have. What is
-noise by name has no part in the importance of the nodes around it.
+the article's nodes near 1. Few pages prove little: importance is taken as if
+PRIOR_PAGES more pages had all differed, for every host alike, so on two pages
+nothing goes and on hundreds what recurs goes even inside an article. From each
+page branches are removed whose importance is below OUTSIDE times that of the
+host's most important node or, inside a marked article or main part, below
+INSIDE; but only where the page's own presentation and content at the node recur
+as much: for a value on c of n pages ln(n / c) / ln(n), taken in the same way, is
+below the same bound. Copies lower a node's importance for all pages, but don't
+remove what few of them have. What is noise by name has no part in the
+importance of the nodes around it.
 
 What a page says about itself comes on top, since a host may have one page:
 elements and class names that stand for menus, notices, adverts, forms,
@@ -22,8 +25,10 @@ that holds at most half of the page's text, or of its marked text if there is
 any; and names are whole class tokens, not their parts.
 
 Only counts by host and node travel; pages are parsed twice and never shuffled
-while the low values of all hosts fit a broadcast of checked size. Beyond it the
-join is by host, and a hot host is split by the adaptive planner.
+while the low values of all hosts fit a broadcast of checked size. Beyond it each
+page's nodes are joined with them, and the pages with what was found for them; no
+row ever holds a whole host. With ``hints`` off the tree alone decides, but for
+elements that hold no text to read; this shows what it does by itself.
 """
 
 from __future__ import annotations
@@ -36,9 +41,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, numbered, table
 
-MIN_PAGES = 8
+#: pages that count as if all had differed, besides those of a host
+PRIOR_PAGES = 6.0
 OUTSIDE = 0.7
 INSIDE = 0.1
 #: a host whose most important node is below this shows too few different pages to judge by
@@ -52,6 +58,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NOISE_TAGS = frozenset("nav footer aside script style noscript template iframe object applet select button input textarea svg canvas audio video dialog menu head title xmp noembed noframes map datalist".split())
+#: noise with and without hints: nothing in them is text to read
+TEXTLESS = frozenset("script style noscript template iframe object applet select button input textarea svg canvas audio video head title xmp noembed noframes map datalist".split())
 MAIN_TAGS = frozenset(("article", "main"))
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense adbox adslot adbanner adunit sponsor sponsored sponsors promo promos promotion promoted banner banners"
@@ -134,7 +142,7 @@ class Segment:
         self.path, self.text, self.main, self.noise, self.block, self.depth = path, text, main, noise, block, depth
 
 
-def parse(page: str):
+def parse(page: str, hints: bool = True):
     """(segments in page order, children: {path: child tags in order}).
 
     A path is a tuple of 64-bit style-tree nodes from the root; a text's path is
@@ -203,7 +211,7 @@ def parse(page: str):
             block += 1
         _, path, main, noise, depth, mark = stack[-1]
         attrs = {} if tag in VOID else _attributes(raw)
-        degree = 0 if noise or tag in VOID else _noise(tag, attrs, main)
+        degree = 0 if noise or tag in VOID else _noise(tag, attrs, main) if hints else 2 * (tag in TEXTLESS)
         if len(path) < 64 and not noise and not degree:
             children.setdefault(path, []).append(tag)
         if tag in VOID:
@@ -214,7 +222,7 @@ def parse(page: str):
             mark = len(above) - 1
         if not main:
             depth = len(path)
-        main = main or tag in MAIN_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articlebody"
+        main = main or (hints and (tag in MAIN_TAGS or attrs.get("role") == "main" or attrs.get("itemprop") == "articlebody"))
         # deeper nodes of very deep pages count to the branch at depth 64
         own = path if len(path) >= 64 else (*path, _node(path[-1] if path else 0, tag, attrs.get("class", "")))
         if tag in RAW:
@@ -256,9 +264,9 @@ def _node(parent: int, tag: str, names: str) -> int:
     return mixed - (1 << 64) if mixed >> 63 else mixed
 
 
-def page_nodes(page: str) -> dict[int, tuple[int, int, bool]]:
+def page_nodes(page: str, hints: bool = True) -> dict[int, tuple[int, int, bool]]:
     """{node: (presentation hash, content hash, inside a main part)} of one page; nodes with no text below them, or only noise, are left out."""
-    return _nodes(*parse(page))
+    return _nodes(*parse(page, hints))
 
 
 def _nodes(segments: list[Segment], children: dict[tuple, list[str]]) -> dict[int, tuple[int, int, bool]]:
@@ -279,17 +287,18 @@ def _nodes(segments: list[Segment], children: dict[tuple, list[str]]) -> dict[in
     return {node: (zlib.crc32(",".join(children.get(paths[node], ())).encode()), c, node not in outside) for node, c in content.items()}
 
 
-def main_text(page: str, low: frozenset | set = frozenset()) -> str:
-    """The page's main text without noise and without branches whose (node, presentation) and (node, content) are in ``low``, marked as in ``VALUE``."""
-    segments, children = parse(page)
+def main_text(page: str, low: frozenset | set = frozenset(), gone: frozenset | set = frozenset(), hints: bool = True) -> str:
+    """The page's main text without noise, without the branches in ``gone`` and without those whose (node, presentation)
+    and (node, content) are in ``low``, marked as in ``VALUE``."""
+    segments, children = parse(page, hints)
     if low:
         nodes = _nodes(segments, children).items()
-        low = {node for node, (look, content, _) in nodes if (node, look) in low and (node, content + (1 << 32)) in low}
+        gone = {node for node, (look, content, _) in nodes if (node, look) in low and (node, content + (1 << 32)) in low}
     good = [s for s in segments if not s.noise]
     if any(s.main and s.text.strip() for s in good):
         good = [s for s in good if s.main]
-    if low:
-        good = [s for s in good if low.isdisjoint(s.path)]
+    if gone:
+        good = [s for s in good if gone.isdisjoint(s.path)]
     blocks: list[str] = []
     last = None
     for s in good:
@@ -305,7 +314,7 @@ def main_text(page: str, low: frozenset | set = frozenset()) -> str:
 VALUE = "value + shiftleft(cast(kind as bigint), 32)"
 
 
-def node_values(pages: DataFrame) -> DataFrame:
+def node_values(pages: DataFrame, hints: bool = True) -> DataFrame:
     """pages: host, html -> host, node, kind (0: presentation, 1: content), value, c (pages that have it), inside. Values of one page are counted together as null."""
 
     def nodes(batches: Iterator) -> Iterator:
@@ -314,7 +323,7 @@ def node_values(pages: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for host, page in zip(batch["host"], batch["html"]):
-                for node, (look, content, inside) in page_nodes(page or "").items():
+                for node, (look, content, inside) in page_nodes(page or "", hints).items():
                     out.append((host, node, inside, 0, look))
                     out.append((host, node, inside, 1, content))
             yield pd.DataFrame(out, columns=["host", "node", "inside", "kind", "value"])
@@ -334,23 +343,39 @@ def node_importance(pages: DataFrame) -> DataFrame:
     return _importance(node_values(pages))
 
 
-def low_branches(values: DataFrame, min_pages: int = MIN_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
-    """host, low: the nodes to remove, each followed by a presentation or content with which it goes.
+def low_values(values: DataFrame, prior: float = PRIOR_PAGES, outside: float = OUTSIDE, inside: float = INSIDE) -> DataFrame:
+    """host, node, v: presentations and contents (marked as in ``VALUE``) with which nodes go; a node goes from a page if both of the page's are listed.
 
-    A node goes from a page if both of the page's are listed. A value of a node
-    on n pages is listed if it is on more than n ** (1 - bound), so there are at
-    most n ** bound.
+    A value of a node on n pages is listed only if it is on more than n ** (1 - bound), so there are at most n ** bound.
     """
-    nodes = _importance(values).filter(F.col("pages") >= min_pages)
-    most = nodes.groupBy("host").agg(F.max("importance").alias("most")).filter(F.col("most") >= DIVERSE)
+    nodes = _importance(values)
+    most = materialise(nodes.groupBy("host").agg(F.max("importance").alias("most")).filter(F.col("most") >= DIVERSE))
+    taken = lambda x: f"(pages * {x} + {prior}D) / (pages + {prior}D)"
     bound = F.expr(f"if(inside, {inside}D, {outside}D * most)")
-    low = nodes.join(most, "host").withColumn("bound", bound).filter("importance < bound").select("host", "node", "pages", "bound")
+    low = materialise(nodes.filter("pages > 1").join(most, "host").withColumn("bound", bound).filter(f"{taken('importance')} < bound").select("host", "node", "pages", "bound"))
     # presentation and content of a node are on the same pages
-    recurring = values.filter("value is not null").select("host", "node", "c", F.expr(VALUE).alias("v")).join(low, ["host", "node"]).filter("ln(pages / c) < bound * ln(pages)")
-    return recurring.groupBy("host").agg(F.flatten(F.collect_list(F.array("node", "v"))).alias("low"))
+    recurring = values.filter("value is not null").select("host", "node", "c", F.expr(VALUE).alias("v")).join(low, ["host", "node"])
+    return recurring.filter(f"{taken('(ln(pages / c) / ln(pages))')} < bound").select("host", "node", "v")
+
+
+def _gone_nodes(rows: DataFrame, low: DataFrame, hints: bool) -> DataFrame:
+    """rows: uid, host, html -> uid, gone: the nodes whose presentation and content on that page are both in ``low``."""
+
+    def nodes(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            out = []
+            for uid, host, page in zip(batch["uid"], batch["host"], batch["html"]):
+                for node, (look, content, _) in page_nodes(page, hints).items():
+                    out += [(uid, host, node, look), (uid, host, node, content + (1 << 32))]
+            yield pd.DataFrame(out, columns=["uid", "host", "node", "v"])
+
+    found = rows.select("uid", "host", "html").mapInPandas(nodes, "uid bigint, host string, node bigint, v bigint").join(low, ["host", "node", "v"])
+    return found.groupBy("uid", "node").agg(F.count("*").alias("n")).filter("n = 2").groupBy("uid").agg(F.collect_list("node").alias("gone"))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", prior: float = PRIOR_PAGES, hints: bool = True) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars.
 
     A null html is empty and has the empty text; a null or hostless url belongs
@@ -359,10 +384,14 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     host = F.coalesce(F.regexp_extract(F.lower(F.col(url_col).cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    branches = materialise(low_branches(materialise(node_values(rows.select("host", "html"))), min_pages))
-    n = (branches.agg(F.sum(F.size("low"))).first()[0] or 0) // 2
-    if n <= BROADCAST_NODES:
-        branches = F.broadcast(branches)
+    low = materialise(low_values(materialise(node_values(rows.select("host", "html"), hints)), prior))
+    small = low.count() <= BROADCAST_NODES
+    if small:
+        of_host = materialise(low.groupBy("host").agg(F.flatten(F.collect_list(F.array("node", "v"))).alias("low")))
+        found = rows.join(F.broadcast(of_host), "host", "left").withColumn("gone", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = numbered(rows)
+        found = rows.join(materialise(_gone_nodes(rows, low, hints)), "uid", "left").withColumn("low", F.lit(None).cast("array<bigint>"))
     id_type = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -371,19 +400,16 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
         known: dict[str, frozenset] = {}
         for batch in batches:
             texts = []
-            for name, page, nodes in zip(batch["host"], batch["html"], batch["low"]):
-                if nodes is None:
-                    texts.append(main_text(page))
-                    continue
-                if name not in known:
+            for name, page, nodes, gone in zip(batch["host"], batch["html"], batch["low"], batch["gone"]):
+                if nodes is not None and name not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[name] = frozenset(zip(map(int, nodes[::2]), map(int, nodes[1::2])))
-                texts.append(main_text(page, known[name]))
+                texts.append(main_text(page, frozenset() if nodes is None else known[name], frozenset() if gone is None else frozenset(map(int, gone)), hints))
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    found = rows.join(branches, "host", "left").withColumn("page_id", F.col("page_id").cast("string"))
-    out = found.select("page_id", "url", "html", "host", "low").mapInPandas(run, "page_id string, url string, text string, n_chars bigint")
+    found = found.withColumn("page_id", F.col("page_id").cast("string"))
+    out = found.select("page_id", "url", "html", "host", "low", "gone").mapInPandas(run, "page_id string, url string, text string, n_chars bigint")
     return out.withColumn("page_id", F.col("page_id").cast(id_type))
 
 

@@ -1,9 +1,11 @@
 """Language identification, toxicity, HTML extraction."""
 
+import math
 import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,15 @@ def test_languages_on_held_out_documents(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held) >= 0.97 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, lang, rng.randint(8, 40)), lang) for i in range(600) for lang in ["cc" if i % 60 == 1 else rng.choice(["aa", "bb"])]]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)")), train_docs=60).collect()
+    lang = {d: x for d, _, x in rows}
+    assert sum(r["lang_pred"] == lang[int(r["doc_id"])] for r in got) >= 0.97 * len(got) and all(r["lang_pred"] == "cc" for r in got if lang[int(r["doc_id"])] == "cc")
+    assert langid.quotas({"a": 3, "b": 100, "c": 100}, 43) == {"a": 3, "b": 20, "c": 20} and langid.quotas({}, 5) == {} and langid.quotas({"a": 9}, 4) == {"a": 4}
+
+
 def test_languages_awkward_rows(spark):
     df = awkward(spark)
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(df).collect()}
@@ -79,6 +90,38 @@ def test_toxicity_on_held_out_documents_and_its_sentences(spark):
             assert any(w in worst for w in ("vile", "grubble", "Snork"))
 
 
+def test_features_with_evidence_equal_brute_force(spark):
+    docs, labels = toxic_corpus(200, 3)
+    rows = spark.createDataFrame([(str(i), t, y) for (i, t), (_, y) in zip(docs, labels)], "doc_id string, text string, toxic int").repartition(5)
+    bags = toxicity.Bags()
+    df, toxic = Counter(), Counter()
+    for (_, t), (_, y) in zip(docs, labels):
+        for f in set(bags.of([t])[0].tolist()):
+            df[f] += 1
+            toxic[f] += y
+    n, p = len(docs), sum(y for _, y in labels)
+
+    def ll(k, m):
+        return sum(x * math.log(x / m) for x in (k, m - k) if x > 0) if m else 0.0
+
+    want = sorted(f for f in df if 2 * (ll(toxic[f], df[f]) + ll(p - toxic[f], n - df[f]) - ll(p, n)) >= toxicity.MIN_EVIDENCE)
+    assert toxicity.features_with_evidence(rows).tolist() == want and want
+
+
+def test_bare_sentences_count_as_sentences():
+    rng = random.Random(6)
+    bags = []
+    for i in range(60):
+        features = np.array([7] if i % 3 == 0 and i % 2 else [3] if i % 2 else [], dtype=np.uint32)
+        bags.append((int(i % 3 == 0), 1.0, features, np.zeros(len(features), np.int64), rng.randint(0, 4)))
+    model = toxicity.fit(bags, rounds=50)
+    assert model.words.tolist() == [3, 7] and model.weights[1] > 0 > model.weights[0]
+    # a text of three sentences, one of which has a feature: noisy-or of all three
+    z = model.sentence_logits(np.array([7, 5], np.uint32), np.array([1, 0]), 3)
+    p = [1 / (1 + math.exp(-x)) for x in (model.bias, model.bias + model.weights[1], model.bias)]
+    assert model.score(z, np.zeros(3, np.int64), 1)[0] == pytest.approx(1 - (1 - model.leak) * math.prod(1 - x for x in p))
+
+
 def test_toxicity_awkward_rows(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (7, None), (8, 0), (99, 1)], "doc_id bigint, toxic int")
@@ -161,6 +204,22 @@ def test_branches_alike_on_all_pages_go(spark):
     assert got[100] == "home about us x y all rights"
 
 
+def test_the_tree_alone_removes_what_recurs(spark, monkeypatch):
+    rng = random.Random(7)
+    page = "<body><nav><ul><li>home</li><li>about</li></ul></nav><div class=x1><p>subscribe to our letter</p></div><article><p>{}</p><p>{}</p></article><footer>all rights</footer></body>"
+    rows = [(i, f"http://h{i % 2}.example/", page.format(prose(rng, "aa", 9), prose(rng, "bb", 5))) for i in range(40)] + [(100, "http://alone.example/", page.format("x", "y")), (101, "http://two.example/", page.format("p", "q")), (102, "http://two.example/", page.format("r", "s"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    by_itself = {r["page_id"]: r["text"] for r in sitetree.extract(df, hints=False).collect()}
+    assert all(len(by_itself[i].split()) == 14 for i in range(40))
+    # one page, or two, prove nothing; there hints decide
+    assert by_itself[100] == "home about subscribe to our letter x y all rights" and by_itself[101].startswith("home")
+    with_hints = {r["page_id"]: r["text"] for r in sitetree.extract(df).collect()}
+    assert {i: with_hints[i] for i in range(40)} == {i: by_itself[i] for i in range(40)} and with_hints[100] == "x y"
+    monkeypatch.setattr(sitetree, "BROADCAST_NODES", 0)  # each page's nodes by a join
+    for hints, want in ((False, by_itself), (True, with_hints)):
+        assert {r["page_id"]: r["text"] for r in sitetree.extract(df, hints=hints).collect()} == want
+
+
 def test_copies_do_not_remove_the_texts_of_other_pages(spark):
     rng = random.Random(5)
     body = "<body><div class=top1><ul><li>home</li></ul></div><div class=crumbs>{}</div><div class=c><p>{}</p></div><div class=ad>{}</div></body>"
