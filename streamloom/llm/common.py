@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,19 +80,6 @@ def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def stable_rows(df: DataFrame) -> DataFrame:
-    """``df`` if its rows come in the same partitions and order each time it is read, else a written copy.
-
-    Row numbers (monotonically_increasing_id) that are taken in several passes
-    must agree. They do for plans that only scan files, project and filter; a
-    shuffle or a local collection may be dealt otherwise when other columns are
-    asked for.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] if (m := re.match(r"[\s:+\-]*(\w+)", line)) else line for line in plan.splitlines() if line.strip()}
-    return df if nodes <= {"Project", "Filter", "Relation"} else materialise(df)
-
-
 def dense_names(rows: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
     """Distinct ``rows`` with the number, from 0, of each in the order of ``keys``: the same however rows are partitioned.
 

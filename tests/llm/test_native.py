@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from helpers import CLASHING, SCHEMA, WORD, awkward, corpus
@@ -90,6 +91,42 @@ def test_log_ratio_is_that_of_the_counts(spark):
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]
 
 
+def test_a_score_at_the_threshold_is_kept_and_any_join_of_ids_counts_alike(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(9, 80), SCHEMA)
+    trusted = df.filter("doc_id % 3 = 0").select("doc_id")
+    scores = {r["doc_id"]: r["llr"] for r in quality.score_documents(df, trusted).collect() if not r["base_failed"]}
+    least = sorted(scores.values())[len(scores) // 2]
+    want = {d for d, x in scores.items() if x >= least}
+    assert {r["doc_id"] for r in quality.score_documents(df, trusted, threshold=least).collect() if r["kept"]} == want
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 0)
+    assert {r["doc_id"] for r in quality.keep_good(df, trusted, threshold=least).collect()} == want
+
+
+def brute_llr(texts, good):
+    """The score of each text, from counts in dictionaries of the hashed n-grams."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    words = [WORD.findall(t or "") for t in texts]
+    known = sorted({w for ws in words for w in ws})
+    h = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in known], "w string").selectExpr("w", "xxhash64(w) as h").collect()}
+    pairs = sorted({p for ws in words for p in zip(ws, ws[1:])})
+    h2 = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "xxhash64(xxhash64(a), xxhash64(b)) as h").collect()}
+    grams = [[h[w] % quality.BUCKETS for w in ws] + [h2[p] % quality.BUCKETS for p in zip(ws, ws[1:])] for ws in words]
+    raw, target = Counter(g for gs in grams for g in gs), Counter(g for gs, ok in zip(grams, good) if ok for g in gs)
+    n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    return [sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in gs) / max(1, len(gs)) for gs in grams]
+
+
+def test_log_ratios_equal_brute_force(spark):
+    rows = corpus(12, 60)
+    df = spark.createDataFrame(rows, SCHEMA)
+    good = [d % 3 == 1 for d, *_ in rows]
+    got = {r["doc_id"]: r["llr"] for r in quality.score_documents(df, df.filter("doc_id % 3 = 1").select("doc_id")).collect()}
+    want = dict(zip([d for d, *_ in rows], brute_llr([t for _, t, *_ in rows], good)))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_quality_without_rows_or_trust(spark):
     df = awkward(spark)
     none = spark.createDataFrame([], "doc_id bigint")
@@ -136,6 +173,16 @@ def test_large_rates_are_poisson_too(spark):
     assert mean == pytest.approx(50, rel=0.05) and sum((c - mean) ** 2 for c in counts) / len(counts) == pytest.approx(50, rel=0.35)
 
 
+def test_rare_sources_are_held_at_the_largest_rate(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b"), *[(10 + i, "0123456789", "c") for i in range(50)]], "doc_id bigint, text string, source string")
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(df, {}, 1.0, 1e12)[0].collect()}
+    assert rates == {"a": mixing.MAX_RATE, "b": mixing.MAX_RATE, "c": mixing.MAX_RATE}
+    rates = {r["source"]: r["rate"] for r in mixing.source_rates(df, {"a": 1.0, "b": 0.01, "c": 1.0}, 1.0, 4000.0, max_rate=200.0)[0].collect()}
+    assert rates["a"] == 200 and rates["b"] == pytest.approx(3800 * 0.01 / 1.01) and rates["c"] == pytest.approx(3800 / 1.01 / 500)
+    counts = {r["source"]: r["count"] for r in mixing.mix_sources(df, {"b": 0.01}, total=4000.0, max_rate=200.0).groupBy("source").count().collect()}
+    assert counts["a"] == pytest.approx(200, rel=0.3) and counts["c"] == pytest.approx(50 * 7.5, rel=0.2)
+
+
 def test_mixing_awkward_rows(spark):
     df = awkward(spark)
     got = mixing.mix_sources(df)
@@ -206,6 +253,62 @@ def test_copies_of_one_context_prove_nothing(spark):
     assert sum(len(r["terms"]) for r in sanitise.personal_data(df).collect()) == 0
 
 
+def brute_disclosure(rows):
+    """Terms and their strength, counted in Python; rows without near copies, and exact copies are one unit."""
+    term = regex.compile(sanitise.TERM)
+    texts, entities, terms = {}, defaultdict(set), {}
+    for text in {t for _, t in rows}:
+        spans = [(k.split(":")[0], *map(int, k.split(":")[1:])) for k in base_spans(text)]
+        bare = "".join(" " if any(a <= i < b for _, a, b in spans) else c for i, c in enumerate(text))
+        texts[text] = {f"{k}:{text[a:b].lower()}" for k, a, b in spans}
+        terms[text] = {w.lower() for w in term.findall(bare) if len(w) >= 3}
+    docs = Counter(e for _, t in rows for e in texts[t])
+    copies = Counter(t for _, t in rows)
+    weight = {t: 1 if any(docs[e] >= 3 for e in texts[t]) else copies[t] for t in texts}  # units
+    slots, n = sum(len(terms[t]) * w for t, w in weight.items()), sum(weight.values())
+    found = {}
+    for e in (e for e, k in docs.items() if k >= 3):
+        units = [t for t in texts if e in texts[t]]
+        if len(units) < 3:
+            continue
+        own = sum(len(terms[t]) for t in units)
+        for w in set().union(*(terms[t] for t in units)):
+            both = sum(w in terms[t] for t in units)
+            pmi = math.log2(both * slots / (sum(weight[t] for t in texts if w in terms[t]) * own))
+            if both >= 3 and both * pmi >= math.log2(n) + sanitise.EVIDENCE and own < slots:
+                found[w] = max(found.get(w, 0), min(1.0, pmi / -math.log2(own / slots)))
+    return {w: d for w, d in found.items() if d >= sanitise.GENERALISE}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_disclosure_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(900)]
+    people = [(f"Name{i}", f"name{i}@mail{i % 3}.org", f"10.0.0.{i}") for i in range(12)]
+    rows = []
+    for i in range(500):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([5, 20, 20, 60, 300]))]
+        for name, mail, ip in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            for x in (name, mail, ip if rng.random() < 0.5 else "none", f"Case-{name[4:]}" if rng.random() < 0.8 else "case"):
+                words.insert(rng.randrange(len(words)), x)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rng.choice(rows)[1]) for i in range(60)]
+    want = brute_disclosure(rows)
+    got = sanitise.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    known = {k["term"]: k["disclosure"] for r in got.collect() for k in r["known"]}
+    assert known == pytest.approx(want) and any(w.startswith("name") for w in want) and any(w.startswith("case-") for w in want)
+    text = dict(rows)
+    for r in got.collect():
+        terms = [text[r["doc_id"]][m["s"] : m["e"]] for m in r["terms"]]
+        assert all(m["v"] == t for m, t in zip(r["terms"], terms)) and {t.lower() for t in terms} <= {k["term"] for k in r["known"]}
+
+
+def test_positions_of_many_matches(spark):
+    text = "a@b.c 1.2.3.4 " * 700
+    got = sanitise.personal_data(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert list(got["base"]) == base_spans(text) and len(got["base"]) == 1400
+
+
 def test_hot_entities_keep_their_terms_and_near_copies_are_one_unit(spark):
     rng = random.Random(7)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
@@ -263,6 +366,25 @@ def test_long_conversations_rank_across_spans(spark, monkeypatch):
     assert sorted(got[t]["position"] for t in got) == list(range(24)) and all(order.index(r["parent_turn"]) < order.index(t) for t, r in got.items() if r["parent_turn"] is not None)
 
 
+def test_a_passage_that_many_messages_quote_links_across_spans(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "SPAN", 4)
+    rows, last, want = [], None, {}
+    for t in range(40):
+        says, asks = t % 7 == 0, t % 3 == 1
+        want[t] = last if asks and last is not None else (t - 1 if t else None)
+        rows.append((None, t, "r", ("> the common passage\n" if asks else "") + ("the common passage" if says else f"own words {t}")))
+        last = t if says else last
+    got = {r["turn"]: r["parent_turn"] for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == want
+
+
+def test_attributions_of_any_length_are_no_text(spark):
+    names = "very long list of recipients, " * 200
+    rows = [(1, 0, "a", "first"), (1, 1, "b", f"On Monday {names} X wrote:\n> first\nreply"), (1, 2, "c", f"Am Montag schrieb {names} X:\n> reply\nthird"), (1, 3, "d", f"am {'schrieb ' * 20_000}\n> third\nfourth")]
+    got = {r["turn"]: r["text"] for r in quotes.link_quotes(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got[1] == "reply" and got[2] == "third" and got[3].startswith("am schrieb")
+
+
 def test_quotes_awkward_rows(spark):
     rows = [(None, None, None, None), (None, 1, "a", "x"), (1, None, None, ""), (1, 1, "b", ">" * 5000), (1, 1, "b", "> a\n" * 3000), (1, 1, "b", "same"), (1, 1, "b", "same"), (1, 2, "c", "> same\r\n> SAME")]
     df = spark.createDataFrame(rows, MESSAGES)
