@@ -17,8 +17,8 @@ of its shingles in common with another document. The steps:
    rarest: two linked sets share one of them). The boundary is the one of
    least cost by the measured lengths of the lists that sets of each size read.
 4. Hubs: of each key's classes the one with the least number is its hub. Every
-   class is compared with the least hub of its keys first, in tasks of bounded
-   size, which joins most near copies at once without listing their pairs.
+   class is compared with the HUBS least hubs of its keys first, in tasks of
+   bounded size, which joins most near copies without listing their pairs.
 5. Cells: the classes of one least hub are a cell (several, if they are many).
    Two cells meet in a task if they share a key whose classes are not yet all
    joined, and only classes with such a key go there. In a task a class is
@@ -51,9 +51,11 @@ BROADCAST_IDS = 1_000_000
 #: UTF-8 bytes of text whose shingles share a bucket of step 1
 BUCKET_BYTES = 8 << 20
 #: classes, and shingles, of a cell, and of a task that compares with one hub
-CELL_CLASSES = 1000
+CELL_CLASSES = 500
 CELL_SHINGLES = 1_000_000
 HUB_CLASSES = 250
+#: hubs that a class is compared with before cells meet
+HUBS = 4
 
 _STEP = mix(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -414,11 +416,15 @@ def class_links(classes: DataFrame, keys: DataFrame, cell_classes: int = CELL_CL
     posted = materialise(keys).select("rep", F.explode(F.array_distinct("keys")).alias("key"))
     lists = materialise(posted.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub"))
     posted = materialise(posted.join(lists, "key").select("rep", "key", "hub"))
-    least = materialise(posted.groupBy("rep").agg(F.min("hub").alias("hub")).join(classes.select("rep", "n"), "rep"))
+    hubs = posted.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, HUBS).alias("hubs"))
+    hubs = materialise(hubs.join(classes.select("rep", "n"), "rep"))
     parts = lambda limit: F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("n") / cell_shingles)).cast("bigint")
-    sizes = materialise(least.groupBy("hub").agg(parts(hub_classes).alias("n_tasks"), parts(cell_classes).alias("n_cells")))
-    members = materialise(least.join(sizes, "hub").select("rep", "hub", "n_tasks", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("n_cells"))).alias("cell")))
-    first = materialise(hub_links(classes, members.select("rep", "hub", "n_tasks")))
+    asking = hubs.select("rep", "n", F.explode("hubs").alias("hub"))
+    tasks = materialise(asking.groupBy("hub").agg(parts(hub_classes).alias("n_tasks")))
+    first = materialise(hub_links(classes, materialise(asking.join(tasks, "hub").select("rep", "hub", "n_tasks"))))
+    least = hubs.select("rep", "n", F.col("hubs")[0].alias("hub"))
+    sizes = materialise(least.groupBy("hub").agg(parts(cell_classes).alias("n_cells")))
+    members = least.join(sizes, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("n_cells"))).alias("cell"))
     joined = members.join(components(first), F.col("rep") == F.col("node"), "left").select("rep", "cell", F.coalesce("root", "rep").alias("comp"))
     tagged = materialise(posted.select("rep", "key").join(materialise(joined), "rep"))
     open_ = materialise(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
