@@ -78,13 +78,14 @@ SELECT word, count(*)::BIGINT AS "count" FROM words GROUP BY word
 """
 
 
-def _line_node():
-    return op.FlatMap(r"transform(split(text, '\n', -1), l -> regexp_replace(l, '^[\\s]++|(?<![\\s])[\\s]++$', ''))", "line")
+def _line_nodes():
+    """One row a line, then stripped: a compiled expression of rows, not of an array's elements."""
+    return op.FlatMap(r"split(text, '\n', -1)", "line"), op.Select(r"regexp_replace(line, '^[\\s]++|(?<![\\s])[\\s]++$', '') as line")
 
 
 @query(_WORDS_SQL)
 def wordcount_by_group(spark, d):
-    return _line(spark, _read(d, "documents", "text"), _line_node(), op.Tokenise(), op.KeyedSum())
+    return _line(spark, _read(d, "documents", "text"), *_line_nodes(), op.Tokenise(), op.KeyedSum())
 
 
 @query("SELECT o_orderkey, o_totalprice * 2 AS value FROM orders WHERE o_totalprice > 1000")
@@ -101,12 +102,19 @@ def sieve(spark, d):
     return run(spark, g, results={one: ["output"]}).of(one)
 
 
-@query()
+def _draw_sql(seed: int, key: str) -> str:
+    return f"('0x' || substr(md5('{seed}|' || {key}), 1, 13))::BIGINT"
+
+
+@query(f"SELECT event_id, event_type FROM events WHERE {_draw_sql(1, 'event_id')} / 4503599627370496.0 < 0.5")
 def bernoulli_filter(spark, d):
     return _line(spark, _read(d, "events", "event_id", "event_type"), op.Bernoulli(["event_id"], 0.5, seed=1))
 
 
-@query()
+@query(
+    f"WITH w AS (SELECT i::BIGINT AS id, {list(src.WORDS)}[1 + {_draw_sql(3, 'i')} % {len(src.WORDS)}] AS word FROM range(1000) t(i))"
+    f" SELECT id, word, row_number() OVER (PARTITION BY word ORDER BY id) AS n FROM w WHERE {_draw_sql(0, 'id')} / 4503599627370496.0 < 0.5"
+)
 def random_words_running(spark, d):
     words = src.RandomWords(seed=3)
     g = Graph().pipeline(words, op.Bernoulli(["id"], 0.5), op.RunningCount("word", ["id"]))
@@ -151,6 +159,14 @@ def projection_by_port(spark, d):
     return only(run(spark, g))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'")
+def pick_port(spark, d):
+    g, table = Graph(), _read(d, "orders", "o_orderkey", "o_orderdate")
+    split, tagged = op.Split({"old": "o_orderdate < timestamp_ntz'1997-01-01'", "new": "o_orderdate >= timestamp_ntz'1997-01-01'"}), op.Tagged(["a", "b"])
+    g.connect(table, "output", split, "input").connect(split, "old", tagged, "a").connect(split, "new", tagged, "b").pipeline(tagged, op.PickPort("b"), op.Select("o_orderkey"))
+    return only(run(spark, g))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O'")
 def fan_in_merge(spark, d):
     g, merged = Graph(), op.Identity()
@@ -227,6 +243,14 @@ def one_to_all(spark, d):
     return _line(spark, _read(d, "nation", "n_nationkey", "n_name"), op.Identity(instances=3).group("input", ToAll()))
 
 
+@query("SELECT 3 AS instances, true AS apart, 3 * count(*) AS n FROM nation")
+def one_to_all_dealt(spark, d):
+    dealt = op.Select("_instance", "spark_partition_id() as p", instances=3).group("input", ToAll())
+    per = op.Aggregate({"parts": "count(distinct p)", "lo": "min(p)", "c": "count(*)"}, keys=["_instance"])
+    whole = op.Aggregate({"instances": "cast(count(distinct lo) as int)", "apart": "max(parts) = 1 and min(c) = max(c)", "n": "sum(c)"})
+    return _line(spark, _read(d, "nation", "n_nationkey"), dealt, per, whole)
+
+
 # --- aggregates ------------------------------------------------------------------------------------
 
 
@@ -321,6 +345,26 @@ def udtf_keyed_state(spark, d):
     return run(spark, g, results={node: ["first"]}).of(node, "first")
 
 
+class RandomPair:
+    """Sends one random number for every row to both of its ports."""
+
+    def process(self, row):
+        import random
+
+        x = random.random()
+        yield "left", (row["event_id"], x)
+        yield "right", (row["event_id"], x)
+
+
+@query("SELECT count(*) AS n, true AS agree FROM events")
+def random_ports_agree(spark, d):
+    """The body runs once for both ports, so what it drew is the same in them."""
+    g, node = Graph(), op.PythonNode(RandomPair, {"left": "event_id bigint, x double", "right": "event_id bigint, y double"})
+    joined, same = op.Join("event_id"), op.Aggregate({"n": "count(*)", "agree": "bool_and(x = y)"})
+    g.connect(_read(d, "events", "event_id"), "output", node, "input").connect(node, "left", joined, "left").connect(node, "right", joined, "right").pipeline(joined, same)
+    return only(run(spark, g))
+
+
 @query("SELECT event_type, count(*) * 10 AS n FROM events GROUP BY event_type")
 def udtf_postprocess(spark, d):
     g, node = _element(d)
@@ -345,6 +389,18 @@ def json_source(spark, d):
     return only(run(spark, g, src.load_inputs(g, text='{"TestProducer": 20}')))
 
 
+@query("SELECT i::BIGINT AS value FROM range(1, 21) t(i)")
+def json_file_source(spark, d):
+    import tempfile
+
+    counter = src.Counter(name="TestProducer")
+    g = Graph().pipeline(counter, op.Identity())
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        f.write('{"TestProducer": 20}')
+        f.flush()
+        return only(run(spark, g, src.load_inputs(g, file=f.name)))
+
+
 @query("SELECT i::BIGINT AS value FROM range(5, 234) t(i)")
 def int_range_source(spark, d):
     return _line(spark, src.IntRange(5, 234), op.Identity())
@@ -456,6 +512,29 @@ def spectral_whitening(spark, d):
     return _signal(spark, d, op.Whiten())
 
 
+@query("SELECT event_type AS trace_id, 1.0::DOUBLE AS power FROM events GROUP BY event_type HAVING count(*) >= 256")
+def whitening_power(spark, d):
+    """A whitened trace whose length is a power of two has the power of a unit spectrum."""
+    trace = op.Select("event_type as trace_id", "ts", "event_id", "value as x")
+    first = op.Where(lambda df: (df["n"] < 256) & df["x"].isNotNull())
+    power = op.Aggregate({"power": "round(sum(x * x), 6)", "c": "count(*)"}, keys=["trace_id"])
+    whole, out = op.Where(lambda df: df["c"] == 256), op.Select("trace_id", "power")
+    return _line(spark, _read(d, "events", "event_type", "ts", "event_id", "value"), trace, op.Numbered(["ts", "event_id"]), op.Select("trace_id", "n", "x"), first, op.WhitenSmooth(), power, whole, out)
+
+
+_LOW, _HIGH, _CYCLES = 0.02, 0.2, (5, 20, 50, 200, 400)
+
+
+@query(
+    f"WITH f AS (SELECT k::BIGINT AS trace_id, k / 1000.0 AS f FROM (SELECT unnest({list(_CYCLES)}) AS k))"
+    f" SELECT trace_id, round(1 / (1 + ({_LOW} / f) ** 8) / (1 + (f / {_HIGH}) ** 8), 6) AS power FROM f"
+)
+def bandpass_gain(spark, d):
+    """The power that a band-pass leaves of sine waves below, in and above its band."""
+    waves = spark.range(1000).selectExpr(f"explode(array({', '.join(f'{k}L' for k in _CYCLES)})) as trace_id", "id as n").selectExpr("trace_id", "n", "sqrt(2D) * sin(2 * pi() * trace_id * n / 1000) as x")
+    return _line(spark, src.Table(waves), op.Bandpass(_LOW, _HIGH, 1.0), op.Aggregate({"power": "round(avg(x * x), 6)"}, keys=["trace_id"]))
+
+
 @query()
 def bandpass_filter(spark, d):
     return _signal(spark, d, op.Bandpass(0.01, 0.1, 1.0))
@@ -477,7 +556,7 @@ def stream_running_count(spark, d):
 
 @query(_WORDS_SQL)
 def stream_wordcount(spark, d):
-    g = Graph().pipeline(_stream(spark, d, "documents"), op.Select("text"), _line_node(), op.Tokenise(), StreamCount("word", name="count"))
+    g = Graph().pipeline(_stream(spark, d, "documents"), op.Select("text"), *_line_nodes(), op.Tokenise(), StreamCount("word", name="count"))
     return to_completion(spark, g, mode="complete")
 
 

@@ -1,5 +1,5 @@
 """Column functions for node chains: arithmetic, tests and text, all inside the JVM."""
 
-from .scalar import add, divide, floor_divide, floor_mod, is_odd, multiply, not_divisible, split_words, strip, subtract
+from .scalar import add, divide, draw, floor_divide, floor_mod, is_odd, multiply, not_divisible, split_words, strip, subtract
 
-__all__ = ["add", "divide", "floor_divide", "floor_mod", "is_odd", "multiply", "not_divisible", "split_words", "strip", "subtract"]
+__all__ = ["add", "divide", "draw", "floor_divide", "floor_mod", "is_odd", "multiply", "not_divisible", "split_words", "strip", "subtract"]

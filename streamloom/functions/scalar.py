@@ -49,3 +49,9 @@ def strip(c: Column) -> Column:
 def split_words(c: Column) -> Column:
     """Parts between single blanks; empty parts stay."""
     return F.split(c, " ", -1)
+
+
+def draw(seed: int, *keys: str) -> Column:
+    """A whole number from 0 below 2 ** 52 drawn by a hash of the seed and key columns, the same in any SQL engine that has md5."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")

@@ -7,6 +7,7 @@ import time
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from .plans.node import Node, Transform
 
@@ -45,6 +46,27 @@ class Observed(Transform):
         return self.observation.get
 
 
+class StreamProgress(StreamingQueryListener):
+    """Rows and milliseconds of each micro-batch, by query: ``spark.streams.addListener(StreamProgress())``."""
+
+    def __init__(self):
+        self.batches: dict[str, list[tuple[int, int, int]]] = {}
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.batches.setdefault(str(event.id), [])
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.setdefault(str(p.id), []).append((p.batchId, p.numInputRows, p.batchDuration))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.id)] = event.exception
+
+
 def estimated_size(df: DataFrame) -> int:
     """Bytes that the optimizer expects the data to have."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

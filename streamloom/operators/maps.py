@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import split_words
+from ..functions import draw, split_words
 from ..plans.graph import Composite, Graph
 from ..plans.node import Node, Transform
 
@@ -132,8 +132,7 @@ class Bernoulli(Transform):
         self.keys, self.share, self.seed = keys, share, seed
 
     def apply(self, df):
-        draw = F.pmod(F.xxhash64(F.lit(self.seed), *self.keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        return df.where(draw < self.share)
+        return df.where(draw(self.seed, *self.keys) / F.lit(float(1 << 52)) < self.share)
 
 
 class Delay(Transform):
@@ -282,6 +281,7 @@ class PythonNode(Node):
         if self.order:
             argument = argument.orderBy(*self.order)
         tagged = udtf(Element, returnType=schema)(argument)
+        self.shared = tagged  # one call makes all ports
         return {p: tagged.where(F.col("_port") == p).select(f"_p{i}.*") for p, i in index.items()}
 
 

@@ -163,6 +163,10 @@ def Whiten(**kw) -> PerTrace:
     return PerTrace(whiten, **kw)
 
 
+#: whitening with smoothed amplitudes: the smoothing is the identity
+WhitenSmooth = Whiten
+
+
 def bandpass(low: float, high: float, rate: float, corners: int = 4):
     """A zero-phase Butterworth response of ``corners`` corners, applied to the spectrum."""
 

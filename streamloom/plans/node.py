@@ -14,10 +14,12 @@ class Node:
 
     ``instances`` is a hint for the number of partitions after a grouping.
     ``costly`` nodes (Python or not repeatable) are persisted where several
-    edges leave them, so every branch sees the same rows.
+    edges leave them, so every branch sees the same rows. A node that makes
+    several ports from one table puts that table in ``shared`` instead.
     """
 
     costly = False
+    shared: DataFrame | None = None
 
     def __init__(self, inputs=(), outputs=(), *, name: str | None = None, instances: int | None = None):
         self.inputs: dict[str, Port] = {p.name: p for p in map(self._port, inputs)}

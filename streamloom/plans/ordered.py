@@ -1,7 +1,7 @@
 """Ranks and running values of ordered data in two steps, so that no task holds the whole order.
 
 The order is cut at quantiles of its first column, found by one approximate
-aggregate (a bounded list of boundaries). A span between two boundaries is a
+aggregate (a bounded list of boundaries, a scalar subquery of the same plan). A span between two boundaries is a
 window partition; the totals of the spans before it (one row a span and key)
 are added by a join. Equal values of the first column share a span.
 """
@@ -16,9 +16,9 @@ SPANS = 64
 
 def _spanned(df: DataFrame, by: str, spans: int) -> DataFrame:
     number = F.col(by).cast("double") if dict(df.dtypes)[by] != "timestamp_ntz" else F.unix_micros(F.col(by).cast("timestamp")).cast("double")
-    cuts = df.select(F.percentile_approx(number, [i / spans for i in range(1, spans)], 10_000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.expr("cast(array() as array<double>)")
-    return df.withColumn("__span", F.size(F.filter(bounds, lambda b: b < number)))
+    cuts = df.select(F.array_distinct(F.percentile_approx(number, [i / spans for i in range(1, spans)], 10_000)).alias("cuts")).scalar()
+    bounds = F.coalesce(cuts, F.expr("cast(array() as array<double>)"))
+    return df.withColumn("__bounds", bounds).withColumn("__span", F.size(F.filter("__bounds", lambda b: b < number))).drop("__bounds")
 
 
 def running(df: DataFrame, part: list[str], order: list[str], sums: dict[str, Column], spans: int = SPANS) -> DataFrame:

@@ -53,10 +53,12 @@ class ToOne(Grouping):
 
 @dataclass(frozen=True)
 class ToAll(Grouping):
-    """Every instance gets a copy of every row, told apart by the column _instance."""
+    """Every instance gets a copy of every row: that of instance i, marked by the column _instance, is in partition i."""
 
     def deal(self, df, instances):
-        return df.withColumn("_instance", F.explode(F.sequence(F.lit(0), F.lit((instances or 1) - 1))))
+        n = instances or 1
+        copies = df.withColumn("_instance", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return copies if df.isStreaming else copies.repartitionById(n, F.col("_instance"))
 
 
 def grouping_of(spec) -> Grouping:

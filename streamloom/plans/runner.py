@@ -93,7 +93,8 @@ def run(spark: SparkSession, graph: Graph, inputs: Mapping | None = None, result
 
     Edges that meet in one input port are united. Data provided for a node
     with inputs is united with what reaches its (first) input; for a root it is
-    its data. A costly node with several edges out is persisted once.
+    its data. A costly node with several edges out is persisted once, and so is
+    what a node makes several used ports from.
 
     ``fuse`` (groups of nodes to run together) is accepted as a hint and only
     checked: Spark fuses whatever lies between two exchanges by itself.
@@ -118,8 +119,12 @@ def run(spark: SparkSession, graph: Graph, inputs: Mapping | None = None, result
         if isinstance(node, Sink):
             out.sinks.append((node, next(iter(fed.values()))))
             continue
-        for name, df in node.build(spark, fed, bound.get(id(node))).items():
-            if node.costly and sum(e.output == name for e in flat.out_of(node)) > 1 and not df.isStreaming:
+        ports = node.build(spark, fed, bound.get(id(node)))
+        if node.shared is not None:
+            if _uses(flat, node, results) > 1 and not node.shared.isStreaming:
+                out.kept.append(node.shared.persist(StorageLevel.MEMORY_AND_DISK))
+        for name, df in ports.items():
+            if node.shared is None and node.costly and sum(e.output == name for e in flat.out_of(node)) > 1 and not df.isStreaming:
                 df = df.persist(StorageLevel.MEMORY_AND_DISK)
                 out.kept.append(df)
             made[(id(node), name)] = df
@@ -136,6 +141,15 @@ def run(spark: SparkSession, graph: Graph, inputs: Mapping | None = None, result
     return out
 
 
+def _uses(graph: Graph, node: Node, results: Mapping | None) -> int:
+    """How many edges leave a node, with the ports of it that are results."""
+    edges = graph.out_of(node)
+    if results is None:
+        return len(edges) + len(set(node.outputs) - {e.output for e in edges})
+    asked = results.get(node, ())
+    return len(edges) + len([asked] if isinstance(asked, str) else asked)
+
+
 def only(results: Results) -> DataFrame:
     """The DataFrame of a run with one result port."""
     if len(results) != 1:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draw
 from ..plans.node import Node, Source
 from ..plans.runner import as_rows
 
@@ -94,7 +95,7 @@ class RandomWords(Source):
 
     def rows(self, spark, data):
         words = F.array(*[F.lit(w) for w in WORDS])
-        return spark.range(iterations(data)).select("id", F.get(words, F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(len(WORDS))).cast("int")).alias("word"))
+        return spark.range(iterations(data)).select("id", F.get(words, (draw(self.seed, "id") % len(WORDS)).cast("int")).alias("word"))
 
 
 class Table(Source):
@@ -172,6 +173,23 @@ class Rate(Source):
         return spark.readStream.format("rate").option("rowsPerSecond", self.rows_per_second).load()
 
 
+class StreamFrom(Source):
+    """An endless stream of any format that Spark streams from (kafka, socket, ...).
+
+    Back-pressure is the source's own option: maxOffsetsPerTrigger for Kafka,
+    maxFilesPerTrigger for files.
+    """
+
+    def __init__(self, format: str, schema=None, **options):
+        kw = {k: options.pop(k) for k in ("name", "instances") if k in options}
+        super().__init__(**kw)
+        self.format, self.schema, self.options = format, schema, options
+
+    def rows(self, spark, data):
+        reader = spark.readStream.format(self.format).options(**self.options)
+        return (reader.schema(self.schema) if self.schema is not None else reader).load()
+
+
 def python_source(generate: Callable[[int], Iterator[tuple]], schema: str, parts: int = 1) -> Source:
     """A source from a Python generator that is called once for each of ``parts`` partitions, on the executors."""
 

@@ -17,6 +17,8 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def state_folder(spark: SparkSession) -> str:
     """A fresh checkpoint folder in the shared folder of the session; in a temporary one only where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='streamloom-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -57,7 +59,19 @@ def run_stream(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "a
     Parquet below ``path``. ``bounded``: read what is there, flush, and end.
     """
     started = {}
-    for (node, port), df in run(spark, graph, inputs).items():
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    if any(getattr(n, "keeps_state", False) for n in graph.flatten().nodes):
+        spark.conf.set(provider, ROCKS)  # a query takes the session's settings when it starts
+    try:
+        _start(spark, run(spark, graph, inputs), started, mode, path, bounded, sink)
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return StreamRun(started)
+
+
+def _start(spark: SparkSession, results, started: dict, mode: str, path: str | None, bounded: bool, sink) -> None:
+    for (node, port), df in results.items():
         writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{state_folder(spark)}/{node}-{port}")
         if bounded:
             writer = writer.trigger(availableNow=True)
@@ -76,7 +90,6 @@ def run_stream(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "a
         else:
             writer = writer.format("memory").queryName(f"q{uuid.uuid4().hex}")
         started[(node, port)] = writer.start()
-    return StreamRun(started)
 
 
 def to_completion(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "append", seconds: float = 600) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..plans.node import Transform
-from .runner import ROCKS
 
 
 class _Total(StatefulProcessor):
@@ -41,13 +40,13 @@ class StreamRunningCount(Transform):
     """For each row how often its key has come so far, across micro-batches (state in RocksDB)."""
 
     value: str | None = None
+    keeps_state = True
 
     def __init__(self, key: str, order=(), name: str = "n", **kw):
         super().__init__(**kw)
         self.key, self.order, self.result = key, list(order), name
 
     def apply(self, df):
-        df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
         columns = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
         kind = "double" if self.value else "bigint"
         out = df.groupBy(self.key).transformWithStateInPandas(_Total(self.order, self.value), f"{columns}, _total {kind}", "Append", "None")

@@ -230,3 +230,11 @@ def test_monitoring(spark):
     with Timer() as timer:
         df.collect()
     assert seen.counts["rows"] == 7 and timer.seconds > 0 and estimated_size(df) > 0
+
+
+def test_building_a_running_sum_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("building", "")
+    df = line(spark, src.IntRange(0, 100), op.Running({"total": F.col("value")}, ["value"]))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    assert df.agg(F.max("total")).first()[0] == 4950 and spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -1,3 +1,4 @@
+import time
 from collections import Counter as Bag
 
 import pytest
@@ -43,3 +44,21 @@ def test_several_sinks_from_one_batch(spark, folder):
 def test_event_time_windows_with_late_data(spark):
     df = spark.sql("select timestamp_ntz'2024-01-01 10:00:00' as ts, 'a' as k, 1.5D as x union all select timestamp_ntz'2024-01-02 00:00:00', 'a', 2D")
     assert sorted((str(r["day"])[:10], r["n"], r["total"]) for r in DailyWindow("ts", "k", "x").apply(df).collect()) == [("2024-01-01", 1, 1.5), ("2024-01-02", 1, 2.0)]
+
+
+def test_progress_is_observed_and_settings_stay(spark, folder):
+    from streamloom.monitor import StreamProgress
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    seen = StreamProgress()
+    spark.streams.addListener(seen)
+    try:
+        assert to_completion(spark, Graph().pipeline(source(folder), StreamRunningCount("k", ["i"]))).count() == 30
+        deadline = time.time() + 20
+        while not seen.ended and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(rows for batches in seen.batches.values() for _, rows, _ in batches) > 0 and set(seen.ended.values()) == {None}
+    assert spark.conf.get(provider, None) == before
