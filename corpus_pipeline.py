@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from streamloom.llm import blocknames, jaccard, mixing, packing, quality
-from streamloom.llm.common import materialise, table
+from streamloom.llm.common import materialise, table, temporary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself is deleted as soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs)
+    for _, stage in STAGES:
+        with temporary(spark):
+            docs = materialise(stage(spark, docs, sf_dir), keep=True)
     return docs
