@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_names, materialise, numbered, table, text_or_empty
+from .common import dense_names, materialise, numbered, table, temporary, text_or_empty
 
 BLOCK_BYTES = 8192
 
@@ -87,8 +87,9 @@ def exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     doc_id counts as the smallest; among rows repeated with the same doc_id the
     one with the largest uid stays).
     """
-    named = materialise(document_names(docs, **options))
-    groups = materialise(named.groupBy("levels", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")))
+    with temporary(docs.sparkSession):
+        named = materialise(document_names(docs, **options), keep=True)
+        groups = materialise(named.groupBy("levels", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size")), keep=True)
     return named.join(groups, ["levels", "name"]).select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256"
     )
