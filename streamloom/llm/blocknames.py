@@ -1,16 +1,16 @@
 """Exact deduplication by deterministic block naming [native].
 
 Every text is cut into fixed-size blocks of UTF-8 bytes. The distinct blocks
-are sorted over all partitions and numbered: a block's integer name. Adjacent
-names are then paired, the distinct pairs sorted and numbered in turn, until
-each document has one name. No name depends on how rows are partitioned. Two documents get the same (levels, name) exactly if their texts
+are sorted over all partitions by a 64-bit key (those that share a key, by
+content) and numbered: a block's integer name. Adjacent names are then paired,
+the distinct pairs sorted and numbered in turn, until each document has one
+name. No name depends on how rows are partitioned. Two documents get the same (levels, name) exactly if their texts
 are the same bytes: a name stands for one content, never for a hash of it.
 
-Only the first step moves text, after a map-side distinct, so a text
-that a third of all rows share is shuffled once per map task. A 64-bit route
-key leads a block's name back to its documents; route keys that stand for
-more than one content are found by counting and those blocks are routed by
-their content instead. All later levels move integers only.
+Only the first step moves text, once, after a map-side distinct, so a text
+that a third of all rows share is shuffled once per map task. The same key
+leads a block's name back to its documents; keys that stand for more than one
+content are found by counting and those blocks go by their content instead. All later levels move integers only.
 """
 
 from __future__ import annotations
@@ -43,9 +43,10 @@ def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return materialise(heads), src.select("uid", F.posexplode(F.expr(f"transform(sequence(0, n_blocks - 1), i -> {cut})")).alias("idx", "block"))
 
     heads, blocks = cut_up(docs)
-    names = materialise(dense_names(blocks.select("block").distinct(), ["block"]).selectExpr(f"{route.format('block')} as route", "name"))
+    # in the order of their route keys; a key of several contents names none, these blocks are named by content below
+    keys = materialise(blocks.select("block").distinct().groupBy(F.expr(route.format("block")).alias("route")).agg(F.count("*").alias("contents")))
     # written, so that the join below reads two plain shuffles: the planner then splits a route that many rows share
-    routed = materialise(names.groupBy("route").agg(F.min("name").alias("name"), F.count("*").alias("contents")))
+    routed = materialise(dense_names(keys, ["route"]))
     shared = routed.filter("contents > 1").select("route")
     collide = not shared.isEmpty()
     if collide and not uid_col:  # blocks and heads must agree on the numbers of rows
@@ -56,7 +57,7 @@ def document_names(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rows = rows.join(routed, "route").select("uid", "idx", "name")
     else:
         by_content = blocks.selectExpr("uid", "idx", "block", f"{route.format('block')} as route").join(shared, "route", "left_semi")
-        again = materialise(dense_names(by_content.select("block").distinct(), ["block"]).selectExpr("block", "-1 - name as name"))
+        again = materialise(dense_names(by_content.select("block").distinct(), ["block"], by="xxhash64(block)").selectExpr("block", "-1 - name as name"))
         rows = rows.join(routed.filter("contents = 1"), "route").select("uid", "idx", "name").union(by_content.join(again, "block").select("uid", "idx", "name"))
     most = heads.agg(F.max("n_blocks")).first()[0] or 1
     sizes = heads.select("uid", "n_blocks")

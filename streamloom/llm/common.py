@@ -80,13 +80,18 @@ def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
     return materialise(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def dense_names(rows: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
+def dense_names(rows: DataFrame, keys: list[str], name: str = "name", by: str | None = None) -> DataFrame:
     """Distinct ``rows`` with the number, from 0, of each in the order of ``keys``: the same however rows are partitioned.
 
     Rows are range-partitioned and sorted; a number is that in its partition
-    plus the rows of the partitions before (one total a partition).
+    plus the rows of the partitions before (one total a partition). ``by`` is
+    the SQL of a short number that goes before long keys: the sample from which
+    Spark finds the ranges, which goes to the driver, then holds no texts.
     """
-    placed = materialise(rows.orderBy(*keys).withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__by", F.expr(by)) if by else rows
+    first = ["__by"] if by else keys
+    sorted_ = rows.repartitionByRange(*first).sortWithinPartitions(*dict.fromkeys(first + keys))
+    placed = materialise(sorted_.withColumn("__at", F.monotonically_increasing_id()).drop("__by"))
     part = F.shiftright("__at", 33)
     totals = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row a partition, so one task may order them
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
