@@ -51,7 +51,7 @@ BROADCAST_IDS = 1_000_000
 #: UTF-8 bytes of text whose shingles share a bucket of step 1
 BUCKET_BYTES = 8 << 20
 #: classes, and shingles, of a cell, and of a task that compares with one hub
-CELL_CLASSES = 500
+CELL_CLASSES = 200
 CELL_SHINGLES = 1_000_000
 HUB_CLASSES = 250
 #: hubs that a class is compared with before cells meet
