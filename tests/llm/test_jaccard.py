@@ -117,3 +117,18 @@ def test_distributed_components(spark):
     got = dict(map(tuple, distributed(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert distributed(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "edges",
+    [[(5, 1), (6, 1), (1, 7)], [(1, 2), (2, 3)], [(3, 1), (3, 2)], [(1, 1), (4, 2), (2, 4), (4, 2)], [(9, 8), (8, 7), (7, 9), (2, 9)]],
+    ids=["star", "chain", "two smaller neighbours", "loops and repeated edges", "cycle"],
+)
+def test_components_of_small_graphs(spark, edges):
+    nodes = sorted({x for a, b in edges if a != b for x in (a, b)})
+    root = {x: x for x in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, distributed(spark.createDataFrame(edges, "a bigint, b bigint")).collect())) == [(x, root[x]) for x in nodes]
