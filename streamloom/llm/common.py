@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: shuffle partitions whose rows share a file in what few() takes together
+FEW = 8
 #: folders of the temporary() blocks that are open, innermost last
 _open: list[str] = []
 
@@ -71,6 +73,17 @@ def materialise(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A small aggregate in fewer tasks, to be written in fewer files: a file takes longer than its rows.
+
+    FEW shuffle partitions go to a task, but there are as many tasks as cores.
+    The stage that makes ``df`` must hold no join, whose split skewed
+    partitions would meet again; the stages before it keep their tasks.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // FEW)))
+
+
 def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
     """A written copy of ``df`` with a number ``name`` for each row.
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, temporary
+from .common import few, materialise, temporary
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    least = materialise(few(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))))
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")))
+    least = materialise(few(down.groupBy("a").agg(F.min("b").alias("m"))))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -41,8 +41,8 @@ def components(edges: DataFrame) -> DataFrame:
     as only stars are left, without a round that changes nothing.
     """
     spark = edges.sparkSession
-    edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = materialise(few(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     while not _stars(edges):
         with temporary(spark):
-            edges = materialise(_small_star(materialise(_large_star(edges))), keep=True)
+            edges = materialise(few(_small_star(materialise(few(_large_star(edges))))), keep=True)
     return edges.selectExpr("a as node", "b as root").union(edges.selectExpr("b as node", "b as root").distinct())

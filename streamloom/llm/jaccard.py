@@ -38,7 +38,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, table, temporary
+from .common import few, materialise, numbered, table, temporary
 from .components import components
 from .wordhash import WordHasher, batches_of, blank_table, joined, mix
 
@@ -420,14 +420,14 @@ def class_links(classes: DataFrame, keys: DataFrame, cell_classes: int = CELL_CL
     hubs = materialise(hubs.join(classes.select("rep", "n"), "rep"))
     parts = lambda limit: F.greatest(F.ceil(F.count("*") / limit), F.ceil(F.sum("n") / cell_shingles)).cast("bigint")
     asking = hubs.select("rep", "n", F.explode("hubs").alias("hub"))
-    tasks = materialise(asking.groupBy("hub").agg(parts(hub_classes).alias("n_tasks")))
+    tasks = materialise(few(asking.groupBy("hub").agg(parts(hub_classes).alias("n_tasks"))))
     first = materialise(hub_links(classes, materialise(asking.join(tasks, "hub").select("rep", "hub", "n_tasks"))))
     least = hubs.select("rep", "n", F.col("hubs")[0].alias("hub"))
-    sizes = materialise(least.groupBy("hub").agg(parts(cell_classes).alias("n_cells")))
+    sizes = materialise(few(least.groupBy("hub").agg(parts(cell_classes).alias("n_cells"))))
     members = least.join(sizes, "hub").select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("n_cells"))).alias("cell"))
     joined = members.join(components(first), F.col("rep") == F.col("node"), "left").select("rep", "cell", F.coalesce("root", "rep").alias("comp"))
     tagged = materialise(posted.select("rep", "key").join(materialise(joined), "rep"))
-    open_ = materialise(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"))
+    open_ = materialise(few(tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")))
     tagged = materialise(tagged.join(open_, "key"))
     # of each open key its cells, and whether all its classes there are of one component
     others = materialise(tagged.groupBy("key", F.col("cell").alias("other")).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
@@ -474,7 +474,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         alive = F.broadcast(alive) if n_alive <= BROADCAST_IDS else alive
         sets = materialise(_with_sets(rows.join(alive, "uid", "left_semi"), width))
         # written, so that the join reads two plain shuffles and a large group of copies is split
-        copies = materialise(sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep")))
+        copies = materialise(few(sets.groupBy("n", "s1", "s2").agg(F.min("uid").alias("rep"))))
         member = materialise(sets.select("uid", "n", "s1", "s2").join(copies, ["n", "s1", "s2"]).select("uid", "rep"))
         classes = materialise(sets.join(member.filter("uid = rep").select("uid"), "uid", "left_semi").selectExpr("uid as rep", "n", "hashes"))
         links = components(class_links(classes, class_keys(classes), **cells))
@@ -482,7 +482,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         out = every.join(reached, "uid", "left").select("uid", "doc_id", "n_shingles", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("__root", "uid").alias("__root"))
         out = materialise(out, keep=True)
         # written, so that the join reads two plain shuffles and a large component is split
-        least = materialise(out.groupBy("__root").agg(F.min("doc_id").alias("component_id")), keep=True)
+        least = materialise(few(out.groupBy("__root").agg(F.min("doc_id").alias("component_id"))), keep=True)
     return out.join(least, "__root").select("uid", "doc_id", "n_shingles", "class_id", "component_id", F.col("__root").alias("root"))
 
 

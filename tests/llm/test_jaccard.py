@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from helpers import SCHEMA, awkward, components, corpus, shingle_set
 
+from streamloom.llm import components as component_steps
 from streamloom.llm import jaccard
 from streamloom.llm.components import components as distributed
 
@@ -132,3 +133,25 @@ def test_components_of_small_graphs(spark, edges):
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
     assert sorted(map(tuple, distributed(spark.createDataFrame(edges, "a bigint, b bigint")).collect())) == [(x, root[x]) for x in nodes]
+
+
+def test_small_steps_of_the_search_for_components_write_few_files(spark, monkeypatch):
+    files, write = [], component_steps.materialise
+
+    def counted(df, keep=False):
+        out = write(df, keep)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(component_steps, "materialise", counted)
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(k) for k in names]
+    try:
+        for k, v in zip(names, ["64", "false"]):
+            spark.conf.set(k, v)
+        got = distributed(spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")).collect()
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(301)]
+    assert files and max(files) <= max(spark.sparkContext.defaultParallelism, 64 // 8)
