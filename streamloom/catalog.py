@@ -544,8 +544,13 @@ def bandpass_filter(spark, d):
 
 
 def _stream(spark, d, name):
-    folder, pattern = d, f"{name}.parquet"
-    return BoundedStream(folder, pattern, spark.read.parquet(f"{d}/{name}.parquet").schema)
+    """A table as a stream: all files of its folder or, if it is one file, that one of the folder it is in."""
+    path = f"{d}/{name}.parquet"
+    table = spark.read.parquet(path)
+    files = [f.split("/")[-2:] for f in table.inputFiles()]
+    if len(files) == 1 and files[0][1] == f"{name}.parquet" != files[0][0]:
+        return BoundedStream(d, f"{name}.parquet", table.schema)
+    return BoundedStream(path, None, table.schema)
 
 
 @query(SQL["running_count_by_key"])

@@ -11,7 +11,9 @@ from ..plans.graph import Graph
 from ..plans.node import Source
 from ..plans.runner import run
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: state on disk, and one bound for the memory of all stores of an executor
+ROCKS = {f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STORE}.rocksdb.boundedMemoryUsage": "true"}
 
 
 def state_folder(spark: SparkSession) -> str:
@@ -23,14 +25,16 @@ def state_folder(spark: SparkSession) -> str:
 
 
 class BoundedStream(Source):
-    """Files of a folder as a stream: ``pattern`` picks them, ``files_per_trigger`` limits a micro-batch."""
+    """Files of a folder as a stream: ``pattern`` picks them by name (None: all), ``files_per_trigger`` limits a micro-batch."""
 
-    def __init__(self, folder: str, pattern: str, schema, format: str = "parquet", files_per_trigger: int | None = None, **kw):
+    def __init__(self, folder: str, pattern: str | None, schema, format: str = "parquet", files_per_trigger: int | None = None, **kw):
         super().__init__(**kw)
         self.folder, self.pattern, self.schema, self.format, self.files_per_trigger = folder, pattern, schema, format, files_per_trigger
 
     def rows(self, spark, data):
-        reader = spark.readStream.format(self.format).schema(self.schema).option("pathGlobFilter", self.pattern)
+        reader = spark.readStream.format(self.format).schema(self.schema)
+        if self.pattern:
+            reader = reader.option("pathGlobFilter", self.pattern)
         if self.files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
         return reader.load(self.folder)
@@ -59,14 +63,15 @@ def run_stream(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "a
     Parquet below ``path``. ``bounded``: read what is there, flush, and end.
     """
     started = {}
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    if any(getattr(n, "keeps_state", False) for n in graph.flatten().nodes):
-        spark.conf.set(provider, ROCKS)  # a query takes the session's settings when it starts
+    settings = ROCKS if any(getattr(n, "keeps_state", False) for n in graph.flatten().nodes) else {}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)  # a query takes the session's settings when it starts
     try:
         _start(spark, run(spark, graph, inputs), started, mode, path, bounded, sink)
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return StreamRun(started)
 
 
@@ -92,9 +97,10 @@ def _start(spark: SparkSession, results, started: dict, mode: str, path: str | N
         started[(node, port)] = writer.start()
 
 
-def to_completion(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "append", seconds: float = 600) -> DataFrame:
+def to_completion(spark: SparkSession, graph: Graph, inputs=None, *, mode: str = "append", seconds: float | None = None) -> DataFrame:
     """Runs a graph with one result over its bounded stream and returns the result as a batch DataFrame.
 
+    It waits for the end, however long the stream is, or fails after ``seconds``.
     Append results are files in the shared folder; complete results (bounded by
     their number of groups) go through foreachBatch, the last batch winning.
     """

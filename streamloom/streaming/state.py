@@ -62,7 +62,9 @@ class StreamRunningSum(StreamRunningCount):
 
 
 class StreamCount(Transform):
-    """Counts by key; on a stream for the modes update and complete."""
+    """Counts by key; on a stream for the modes update and complete (state in RocksDB, so keys need no memory)."""
+
+    keeps_state = True
 
     def __init__(self, *keys: str, name: str = "n", **kw):
         super().__init__(**kw)

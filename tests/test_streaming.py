@@ -62,3 +62,25 @@ def test_progress_is_observed_and_settings_stay(spark, folder):
         spark.streams.removeListener(seen)
     assert sum(rows for batches in seen.batches.values() for _, rows, _ in batches) > 0 and set(seen.ended.values()) == {None}
     assert spark.conf.get(provider, None) == before
+
+
+def test_a_table_in_a_folder_of_files_streams_whole(spark, tmp_path):
+    from streamloom import catalog
+
+    one, many = tmp_path / "one", tmp_path / "many"
+    lines = [(i, f" a b{i % 3}\nc ") for i in range(40)]
+    spark.createDataFrame(lines, "doc_id bigint, text string").repartition(4).write.parquet(f"{many}/documents.parquet")
+    spark.createDataFrame(lines, "doc_id bigint, text string").coalesce(1).write.parquet(f"{one}/in")
+    next((one / "in").glob("part-*.parquet")).rename(one / "documents.parquet")
+    spark.createDataFrame(lines[:1], "doc_id bigint, text string").write.parquet(f"{many}/other.parquet")
+    for d in (one, many):
+        want = dict(map(tuple, catalog.wordcount_by_group(spark, str(d)).collect()))
+        assert want == {"a": 40, "b0": 14, "b1": 13, "b2": 13, "c": 40}
+        assert dict(map(tuple, catalog.stream_wordcount(spark, str(d)).collect())) == want
+
+
+def test_counts_keep_their_state_on_disk(spark, folder):
+    done = run_stream(spark, Graph().pipeline(source(folder), StreamCount("k")), mode="complete", sink=lambda df, k: df.count())
+    assert done.wait(60)
+    ((_, query),) = done.queries.items()
+    assert any("rocksdb" in name for p in query.recentProgress for state in p["stateOperators"] for name in state["customMetrics"])
