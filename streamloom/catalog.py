@@ -359,7 +359,7 @@ class RandomPair:
 @query("SELECT count(*) AS n, true AS agree FROM events")
 def random_ports_agree(spark, d):
     """The body runs once for both ports, so what it drew is the same in them."""
-    g, node = Graph(), op.PythonNode(RandomPair, {"left": "event_id bigint, x double", "right": "event_id bigint, y double"})
+    g, node = Graph(), op.PythonNode(RandomPair, {"left": "event_id bigint, x double", "right": "event_id bigint, y double"}).group("input", "shuffle")
     joined, same = op.Join("event_id"), op.Aggregate({"n": "count(*)", "agree": "bool_and(x = y)"})
     g.connect(_read(d, "events", "event_id"), "output", node, "input").connect(node, "left", joined, "left").connect(node, "right", joined, "right").pipeline(joined, same)
     return only(run(spark, g))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import draw, split_words
 from ..plans.graph import Composite, Graph
 from ..plans.node import Node, Transform
+from ..plans.ports import Shuffle
 
 
 class Identity(Transform):
@@ -244,7 +245,10 @@ class PythonNode(Node):
     returns an iterable of (port, tuple) pairs or None, and ``finish()`` does the
     same at the end of the data. One object sees all rows of a key (``keys``),
     or all rows (``keys`` empty: a single task), in the order of ``order``.
-    Every port has its own schema (DDL).
+    With the grouping 'shuffle' of its input there is an object in each of
+    ``instances`` tasks (else as many as the session shuffles into), which sees
+    an equal share of the rows: for bodies to which it is all the same which
+    rows they get. Every port has its own schema (DDL).
     """
 
     costly = True
@@ -253,6 +257,10 @@ class PythonNode(Node):
         super().__init__(("input",), tuple(ports), **kw)
         self.body, self.ports, self.keys, self.order, self.params = body, ports, list(keys), list(order), params or {}
 
+    @property
+    def dealt(self) -> bool:
+        return isinstance(self.inputs["input"].grouping, Shuffle) and not self.keys and not self.order
+
     def build(self, spark, inputs, data=None):
         from pyspark.sql.functions import udtf
 
@@ -276,11 +284,16 @@ class PythonNode(Node):
             def terminate(self):
                 yield from self._rows(self.body.finish() if hasattr(self.body, "finish") else ())
 
-        argument = inputs["input"].asTable()
-        argument = argument.partitionBy(*self.keys) if self.keys else argument.withSinglePartition()
-        if self.order:
-            argument = argument.orderBy(*self.order)
-        tagged = udtf(Element, returnType=schema)(argument)
+        df, element = inputs["input"], udtf(Element, returnType=schema)
+        parts = self.instances or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if self.dealt:
+            # the row as an argument: one object a task, nothing is gathered or sorted by key
+            rows = df if self.instances else df.repartition(parts)
+            tagged = rows.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).lateralJoin(element(F.col("_row").outer())).drop("_row")
+        else:
+            argument = df.asTable()
+            argument = argument.partitionBy(*self.keys) if self.keys else argument.withSinglePartition()
+            tagged = element(argument.orderBy(*self.order) if self.order else argument)
         self.shared = tagged  # one call makes all ports
         return {p: tagged.where(F.col("_port") == p).select(f"_p{i}.*") for p, i in index.items()}
 

@@ -151,6 +151,43 @@ def test_python_node_lifecycle(spark):
         assert sorted(values(found.of(node, "half"))) == [0, 20, 40] and values(found.of(after)) == [6]
 
 
+def test_python_node_with_dealt_rows(spark):
+    from datetime import datetime
+
+    class Share:
+        def __init__(self):
+            self.n = 0
+
+        def process(self, row):
+            self.n += 1
+            yield "each", (row["value"], row["at"], row[2])
+
+        def finish(self):
+            return [("count", (self.n,))]
+
+    at = datetime(2024, 1, 2, 3, 4, 5)
+    df = spark.createDataFrame([(i, at, None if i % 2 else "x") for i in range(900)], "value bigint, at timestamp_ntz, `odd name` string").coalesce(1)
+    for instances, objects in ((3, 3), (None, int(spark.conf.get("spark.sql.shuffle.partitions")))):
+        node = op.PythonNode(Share, {"each": "value bigint, at timestamp_ntz, s string", "count": "n bigint"}, instances=instances).group("input", "shuffle")
+        g = Graph().connect(src.Table(df), "output", node, "input")
+        with run(spark, g) as found:
+            assert sorted(map(tuple, found.of(node, "each").collect())) == [(i, at, None if i % 2 else "x") for i in range(900)]
+            counts = values(found.of(node, "count"), "n")
+        assert len(counts) == objects and sum(counts) == 900 and max(counts) - min(counts) <= objects
+        with run(spark, Graph().connect(src.Table(df.where("value < 0")), "output", node, "input")) as found:
+            assert values(found.of(node, "each")) == [] and sum(values(found.of(node, "count"), "n")) == 0
+
+
+def test_random_ports_are_drawn_by_many_tasks(spark, tmp_path):
+    from streamloom import catalog
+
+    spark.range(1000).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    df = catalog.random_ports_agree(spark, str(tmp_path))
+    body = df._jdf.queryExecution().toString().split("InMemoryRelation")[1]
+    assert "RoundRobinPartitioning" in body and "SinglePartition" not in body.split("InMemoryTableScan")[0]
+    assert tuple(df.first()) == (1000, True)
+
+
 def test_apply_field(spark):
     df = spark.sql("select 1L as count, named_struct('x', 2.0D, 'rf', 10.0D) as unit")
     node = op.ApplyField(lambda x, k, rf: x * k + rf, "unit.x", {"k": 3}, given={"rf": "unit.rf"})
